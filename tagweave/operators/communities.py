@@ -64,35 +64,22 @@ def gains(links: DataFrame, masses: DataFrame, m: int) -> DataFrame:
 def preferences(gaining: DataFrame) -> DataFrame:
     """Each community's best pair: highest gain, then the tie value, then ids.
 
-    Also the gain of its second choice, from the two smallest keys. Both are
-    plain aggregates, combined before the shuffle.
+    Also the gain of its second choice. Two rows per community are all that is
+    asked for, so Spark cuts the groups to two before the shuffle.
     """
     ends = gaining.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("lo").alias("c"), F.col("hi").alias("partner")),
-                F.struct(F.col("hi").alias("c"), F.col("lo").alias("partner")),
-            )
-        ).alias("end"),
-        F.struct((-F.col("g")).alias("loss"), "tie", "lo", "hi", "e").alias("choice"),
+        F.explode(F.array("lo", "hi")).alias("c"), "g", "tie", "lo", "hi", "e"
     )
-    best = ends.groupBy("end.c").agg(
-        F.min("choice").alias("choice"), F.count("*").alias("n")
+    by_gain = Window.partitionBy("c").orderBy(F.desc("g"), "tie", "lo", "hi")
+    ranked = ends.withColumn("place", F.row_number().over(by_gain)).where(
+        F.col("place") <= 2
     )
-    others = (
-        ends.join(best.select(F.col("c").alias("_c"), F.col("choice").alias("_first")),
-                  F.col("end.c") == F.col("_c"))
-        .where(F.col("choice") != F.col("_first"))
-        .groupBy("_c")
-        .agg(F.max(-F.col("choice.loss")).alias("second"))
-    )
-    return best.join(others, F.col("c") == F.col("_c"), "left").select(
-        "c",
-        (-F.col("choice.loss")).alias("g"),
-        F.col("choice.lo").alias("lo"),
-        F.col("choice.hi").alias("hi"),
-        F.col("choice.e").alias("e"),
-        F.coalesce("second", F.lit(0)).cast(_EXACT).alias("second"),
+    first = F.col("place") == 1
+    return ranked.groupBy("c").agg(
+        *[F.max(F.when(first, F.col(x))).alias(x) for x in ("g", "lo", "hi", "e")],
+        F.coalesce(F.max(F.when(~first, F.col("g"))), F.lit(0))
+        .cast(_EXACT)
+        .alias("second"),
     )
 
 
@@ -227,10 +214,10 @@ def greedy_communities(
     nodes = masses.select(F.col("c").alias("node"))
     rounds = []
     while True:
-        gaining = settle(gains(links, masses, m))
-        if gaining.isEmpty():
+        prefs = settle(preferences(gains(links, masses, m)))
+        if prefs.isEmpty():
             break
-        merges = settle(merge_round(settle(preferences(gaining)), masses, m))
+        merges = settle(merge_round(prefs, masses, m))
         rounds.append(merges)
         # pairs that gain nothing now never will, but their edges still count
         # towards later pairs, so all links are carried on

@@ -2,19 +2,21 @@
 
 A key that ``d`` items carry would give ``d * (d - 1) / 2`` pairs, and one hot
 key would swamp the job. But a graph only keeps pairs that share at least
-``min_shared >= 2`` keys, which allows an exact two-way split:
+``min_shared >= 2`` keys, which allows two exact ways around it. Group sizes,
+counted first, tell which one is cheaper.
 
-* *ordinary* keys have at most ``hot_at`` rows, so joining on them makes at most
-  ``hot_at / 2`` pairs per row;
-* *hot* keys never act as a join key alone. Items are grouped by combinations of
-  ``min_shared`` hot keys, so that every pair found this way is a result.
+*By combination*: items with few keys are grouped by each combination of
+``min_shared`` of their keys. Every pair found is a result, however hot a key.
 
-Both kinds of pairs then have their hot keys counted by equi-joins. Where all
-keys are ordinary the hot half of the plan is left out.
+*By key*, for items with very many keys: ordinary keys have at most ``hot_at``
+rows, so joining on them makes at most ``hot_at / 2`` pairs per row. Hot keys
+never act as a join key alone, but only in combinations of ``min_shared``. Both
+kinds of pairs then have their hot keys counted by equi-joins.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -25,6 +27,12 @@ from tagweave.operators.lineage import settle
 HOT_AT = 1000
 # a longer list of hot keys is joined by shuffle instead of broadcast
 BROADCAST_KEYS = 100_000
+# items with more keys than this are not grouped by combination
+MAX_COMBINED = 1000
+# a combination costs about as much as this many plain pairs (measured) ...
+COMBINATION_COST = 16
+# ... and is not worth asking for where keys make few pairs per row
+PAIRS_PER_ROW = 32
 
 
 def drop_stop_keywords(
@@ -40,6 +48,68 @@ def drop_stop_keywords(
     return df.where(~F.coalesce(F.col(col).isin(*stop), F.lit(False)))
 
 
+def _group_sizes(rows: DataFrame, by: str, choose: int):
+    """Row count, largest group and summed ``C(size, choose)``, as one row.
+
+    Counting rows rather than distinct ones gives bounds, which is all the
+    choice of a route needs.
+    """
+    n = F.col("n")
+    ways = F.lit(1.0)
+    for i in range(choose):
+        ways = ways * F.greatest(n - i, F.lit(0.0)) / (i + 1)
+    sizes = rows.groupBy(by).agg(F.count("*").cast("double").alias("n"))
+    zero = F.lit(0.0)
+    return sizes.agg(
+        F.coalesce(F.sum(n), zero).alias("rows"),
+        F.coalesce(F.max(n), zero).alias("largest"),
+        F.coalesce(F.sum(ways), zero).alias("ways"),
+    ).first()
+
+
+def _pairs_by_combination(rows: DataFrame, size: int) -> DataFrame:
+    """``(a, b, n)`` from items grouped by every combination of their keys.
+
+    A pair with ``n`` keys in common meets in ``C(n, size)`` groups, from which
+    ``n`` is read back.
+    """
+    # a struct keeps null keys; the arrays are bounded by MAX_COMBINED
+    combos = rows.groupBy("item").agg(
+        F.array_sort(F.collect_set(F.struct("key"))).alias("keys")
+    )
+    combos = combos.select(
+        "item", "keys", F.lit(-1).alias("pos"), F.array().alias("combo")
+    ).where(F.size("keys") >= size)
+    for _ in range(size):
+        later = combos.select("*", F.posexplode("keys").alias("next", "key")).where(
+            F.col("next") > F.col("pos")
+        )
+        combos = later.select(
+            "item",
+            "keys",
+            F.col("next").alias("pos"),
+            F.concat("combo", F.array("key")).alias("combo"),
+        )
+    # the hash comes first in the join key, so sorting seldom compares arrays
+    groups = combos.select("item", "combo", F.xxhash64("combo").alias("h"))
+    x, y = groups.alias("x"), groups.alias("y")
+    together = (
+        (F.col("x.h") == F.col("y.h"))
+        & (F.col("x.combo") == F.col("y.combo"))
+        & (F.col("x.item") < F.col("y.item"))
+    )
+    meetings = (
+        x.join(y, together)
+        .select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("meetings"))
+    )
+    ways = [math.comb(n, size) for n in range(size, MAX_COMBINED + 1)]
+    ways = F.array(*[F.lit(w).cast("long") for w in ways if w < 2**63])
+    n = F.array_position(ways, F.col("meetings")) + (size - 1)
+    return meetings.select("a", "b", n.alias("n"))
+
+
 def _hot_keys(rows: DataFrame, hot_at: int) -> DataFrame:
     """Keys with more than ``hot_at`` rows, numbered; usually few or none.
 
@@ -73,43 +143,24 @@ def _hot_combinations(heavy: DataFrame, size: int) -> DataFrame:
     return combos.select("item", "combo")
 
 
-def shared_pairs(
-    df: DataFrame,
-    item: str,
-    key: str,
-    min_shared: int = 2,
-    hot_at: int = HOT_AT,
-    names: tuple[str, str, str] = ("item_1", "item_2", "shared"),
-) -> DataFrame:
-    """Pairs of items with at least ``min_shared`` distinct keys in common.
+def _pairs_by_ordinary_key(rows: DataFrame) -> DataFrame:
+    counted = _item_pairs(rows.distinct(), "key").groupBy("a", "b")
+    return counted.agg(F.count("*").alias("n"))
 
-    Each unordered pair comes once, smaller item first. Null items never pair;
-    a null key counts as one key. A threshold of one would ask for every pair
-    in every group; :func:`pair_weights` counts those without listing them.
-    """
-    if min_shared < 2:
-        raise ValueError("min_shared must be at least 2; see pair_weights")
-    rows = df.select(F.col(item).alias("item"), F.col(key).alias("key")).where(
-        F.col("item").isNotNull()
-    )
+
+def _pairs_by_key(rows: DataFrame, min_shared: int, hot_at: int) -> DataFrame:
+    """``(a, b, n)`` from joins on ordinary keys and on hot combinations."""
     hot = _hot_keys(rows, hot_at)
     n_hot = hot.count()
-    rows = rows.distinct()
-
     if n_hot == 0:
-        pairs = (
-            _item_pairs(rows, "key")
-            .groupBy("a", "b")
-            .agg(F.count("*").alias("n"))
-            .where(F.col("n") >= min_shared)
-        )
-        return pairs.toDF(*names)
+        return _pairs_by_ordinary_key(rows)
 
+    rows = rows.distinct()
     if n_hot <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
     same_key = rows["key"].eqNullSafe(hot["key"])
     light = rows.join(hot, same_key, "left_anti")
-    heavy = rows.join(hot, same_key).select("item", "hot")
+    heavy = settle(rows.join(hot, same_key).select("item", "hot"))
     n_heavy = heavy.groupBy("item").agg(F.count("*").alias("n_heavy"))
 
     by_light = (
@@ -143,12 +194,51 @@ def shared_pairs(
         .groupBy("a", "b")
         .agg(F.count("*").alias("n_hot"))
     )
-    return (
-        candidates.join(common_hot, ["a", "b"], "left")
-        .select("a", "b", (F.col("n_light") + F.coalesce("n_hot", F.lit(0))).alias("n"))
-        .where(F.col("n") >= min_shared)
-        .toDF(*names)
+    return candidates.join(common_hot, ["a", "b"], "left").select(
+        "a", "b", (F.col("n_light") + F.coalesce("n_hot", F.lit(0))).alias("n")
+    )
+
+
+def _route(rows: DataFrame, min_shared: int, hot_at: int) -> str:
+    """The cheaper way to the pairs, by the sizes of the groups."""
+    by_key = _group_sizes(rows, "key", 2)
+    if by_key["ways"] > PAIRS_PER_ROW * by_key["rows"]:
+        by_item = _group_sizes(rows, "item", min_shared)
+        combined = by_item["ways"] * COMBINATION_COST
+        if by_item["largest"] <= MAX_COMBINED and combined <= by_key["ways"]:
+            return "combination"
+    return "ordinary" if by_key["largest"] <= hot_at else "key"
+
+
+def shared_pairs(
+    df: DataFrame,
+    item: str,
+    key: str,
+    min_shared: int = 2,
+    hot_at: int = HOT_AT,
+    names: tuple[str, str, str] = ("item_1", "item_2", "shared"),
+    route: str | None = None,
+) -> DataFrame:
+    """Pairs of items with at least ``min_shared`` distinct keys in common.
+
+    Each unordered pair comes once, smaller item first. Null items never pair;
+    a null key counts as one key. A threshold of one would ask for every pair
+    in every group; :func:`pair_weights` counts those without listing them.
+    ``route`` ("combination" or "key") overrides the choice by group sizes.
+    """
+    if min_shared < 2:
+        raise ValueError("min_shared must be at least 2; see pair_weights")
+    rows = df.select(F.col(item).alias("item"), F.col(key).alias("key")).where(
+        F.col("item").isNotNull()
     )
+    route = route or _route(rows, min_shared, hot_at)
+    if route == "combination":
+        pairs = _pairs_by_combination(rows, min_shared)
+    elif route == "ordinary":
+        pairs = _pairs_by_ordinary_key(rows)
+    else:
+        pairs = _pairs_by_key(rows, min_shared, hot_at)
+    return pairs.where(F.col("n") >= min_shared).toDF(*names)
 
 
 def cooccurrence_pairs(

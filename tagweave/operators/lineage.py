@@ -3,30 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a local master may invent one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names; only a local master may invent one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(
                 "set spark.checkpoint.dir to a folder that all executors share"
             )
-        shared = tempfile.mkdtemp(prefix="tagweave-")
-    context.setCheckpointDir(shared)
+        folder = tempfile.mkdtemp(prefix="tagweave-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and read it from reliable storage from now on.
+    """Write ``df`` out once and read it from there from now on.
 
-    Later rounds neither replan nor recompute earlier ones, and a lost executor
-    costs only its tasks of the current round.
+    Later rounds neither replan nor recompute earlier ones, a lost executor
+    costs only its tasks of the current round, and columns not needed are not
+    read. As files have a known size, the planner decides on broadcasts by real
+    numbers; estimates carried along by a checkpoint would multiply with every
+    join until they mean nothing.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tagweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
