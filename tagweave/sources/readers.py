@@ -7,12 +7,11 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tagweave.sources import schemas
 
 
-def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
+def _read(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
     reader = spark.read.schema(schema)
     if fmt == "csv":
         # keywords and titles may hold quotes, commas and line breaks
@@ -49,7 +48,7 @@ def read_stored_graph(
     spark: SparkSession,
     edges: str,
     nodes: str | None = None,
-    edge_schema: T.StructType = schemas.STORED_PAPER_EDGES,
+    edge_schema: str = schemas.STORED_PAPER_EDGES,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Result files of earlier runs, as ``(edges, nodes)``; row names dropped."""
     edge_rows = spark.read.csv(edges, schema=edge_schema, header=True).drop("row_name")

@@ -4,45 +4,26 @@ Column names and types here are fixed values: files written by earlier tools
 use them.
 """
 
-from pyspark.sql import types as T
-
-CATALOGUE = T.StructType.fromDDL(
+CATALOGUE = (
     "report_note_number string, research_report_title string, key_words string,"
     " theme string, researcher string, published_date date, available_at string"
 )
-
-REPORT_KEYWORD = T.StructType(
-    CATALOGUE.fields
-    + T.StructType.fromDDL("label string, new_label string").fields
-)
-
-KEYWORD_NODE = T.StructType.fromDDL(
-    "id long, nodes string, n_reports long, label string"
-)
+REPORT_KEYWORD = CATALOGUE + ", label string, new_label string"
+KEYWORD_NODE = "id long, nodes string, n_reports long, label string"
 
 # Stored results: the first column of each file is an unnamed row number.
-STORED_PAPER_EDGES = T.StructType.fromDDL(
-    "row_name string, Source int, Target int, shared_keywords int"
-)
-STORED_THEME_EDGES = T.StructType(
-    STORED_PAPER_EDGES.fields
-    + T.StructType.fromDDL("new_theme1 string, new_theme2 string").fields
-)
-STORED_KEYWORD_EDGES = T.StructType.fromDDL(
-    "row_name string, `from` int, `to` int, n int"
-)
-STORED_KEYWORD_NODES = T.StructType.fromDDL(
-    "row_name string, name string, community int"
-)
+STORED_PAPER_EDGES = "row_name string, Source int, Target int, shared_keywords int"
+STORED_THEME_EDGES = STORED_PAPER_EDGES + ", new_theme1 string, new_theme2 string"
+STORED_KEYWORD_EDGES = "row_name string, `from` int, `to` int, n int"
+STORED_KEYWORD_NODES = "row_name string, name string, community int"
 
-GEPHI_EDGES = T.StructType.fromDDL(
+GEPHI_EDGES = (
     "Source long, Target long, Type string, Kind string, Id long,"
     " Label string, timeset string, Weight long"
 )
-GEPHI_NODES = T.StructType.fromDDL("Id long, Label string, timeset string")
+GEPHI_NODES = "Id long, Label string, timeset string"
 
-KNOWLEDGE_GRAPH = T.StructType.fromDDL(
-    """
+KNOWLEDGE_GRAPH = """
     name string,
     description string,
     elements array<struct<_id: string, attributes: map<string, string>>>,
@@ -56,5 +37,4 @@ KNOWLEDGE_GRAPH = T.StructType.fromDDL(
             pinned: boolean, element: string>>,
         connections: array<struct<
             _id: string, curvature: double, connection: string>>>>
-    """
-)
+"""
