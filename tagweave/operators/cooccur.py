@@ -30,7 +30,7 @@ BROADCAST_KEYS = 100_000
 # items with more keys than this are not grouped by combination
 MAX_COMBINED = 1000
 # a combination costs about as much as this many plain pairs (measured) ...
-COMBINATION_COST = 16
+COMBINATION_COST = 8
 # ... and is not worth asking for where keys make few pairs per row
 PAIRS_PER_ROW = 32
 
@@ -105,9 +105,9 @@ def _pairs_by_combination(rows: DataFrame, size: int) -> DataFrame:
         .agg(F.count("*").alias("meetings"))
     )
     ways = [math.comb(n, size) for n in range(size, MAX_COMBINED + 1)]
-    ways = F.array(*[F.lit(w).cast("long") for w in ways if w < 2**63])
-    n = F.array_position(ways, F.col("meetings")) + (size - 1)
-    return meetings.select("a", "b", n.alias("n"))
+    table = ", ".join(f"{w}L" for w in ways if w < 2**63)
+    position = F.expr(f"array_position(array({table}), meetings)")
+    return meetings.select("a", "b", (position + (size - 1)).alias("n"))
 
 
 def _hot_keys(rows: DataFrame, hot_at: int) -> DataFrame:

@@ -122,7 +122,7 @@ def stem(spark, d):
 
 @query
 def stem_families(spark, d):
-    docs = tables.table(spark, d, "documents").select("text")
+    docs = tables.documents(spark, d)
     words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("label"))
     return vocabulary.stem_families(words.where(F.col("label") != ""))
 
@@ -386,7 +386,7 @@ def components(spark, d):
 
 @query
 def betweenness(spark, d):
-    scores = node_betweenness(settle(_links(spark, d)), *PAIR)
+    scores = node_betweenness(_links(spark, d), *PAIR)
     return scores.withColumn("betweenness", F.round("betweenness", 6))
 
 

@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)``, in no fewer partitions than there are cores.
+
+    A small file of one row group would leave all but one core idle. On large
+    tables the scan has more partitions than that, and nothing is moved.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def line_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(report_note_number, label, new_label)``, one row per order line.
 
@@ -65,12 +76,12 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, label)``: each whole document text as a raw keyword string."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return explode_keywords(docs, "text").select("doc_id", "label")
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(label, n)``: the distinct lower-case words of all documents."""
-    docs = table(spark, sf_dir, "documents").select("text")
+    docs = documents(spark, sf_dir)
     words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("label"))
     return words.where(F.col("label") != "").groupBy("label").agg(F.count("*").alias("n"))
