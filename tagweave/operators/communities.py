@@ -27,8 +27,9 @@ _EXACT = "decimal(38,0)"
 def mix(lo: Column, hi: Column) -> Column:
     """A fixed scramble of two ids. Ties broken by id alone would line up along
     chains of equal gain and merge one link per round."""
-    p = 2147483647
-    return (F.pmod(lo, F.lit(p)) * 715827883 + F.pmod(hi, F.lit(p)) * 433494437) % p
+    p = F.lit(2147483647).cast("long")
+    lo, hi = F.pmod(lo.cast("long"), p), F.pmod(hi.cast("long"), p)
+    return (lo * 715827883 + hi * 433494437) % p
 
 
 def community_graph(
