@@ -8,6 +8,8 @@ single-node moves at the end make up for that.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from tagweave.operators.ranking import dense_id
 CROWD = 32
 SLICES = 16
 # Node moves end when a round of them adds less than this to modularity.
-LEAST_RISE = 1e-4
+LEAST_RISE = 1e-3
 
 _EXACT = "decimal(38,0)"
 
@@ -182,24 +184,23 @@ def contract(
 def resolve_merges(nodes: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     """``(node, community)`` from the merges of all rounds.
 
-    Folded from the last round back, so that a round's targets are looked up
-    among later merges only; the tables shrink with the community graph.
+    A community merges away at most once, so all merges together are a table of
+    pointers. Each pass doubles the distance they span; no path is longer than
+    the number of rounds.
     """
-    final = None
-    for i, merges in enumerate(reversed(rounds)):
-        if final is None:
-            final = merges
-            continue
-        later = final.toDF("_c", "_target")
-        moved = merges.join(later, F.col("target") == F.col("_c"), "left").select(
-            "c", F.coalesce("_target", "target").alias("target")
-        )
-        final = moved.unionByName(final)
-        if i % 5 == 4:
-            final = settle(final)
-    if final is None:
+    if not rounds:
         return nodes.select("node", F.col("node").alias("community"))
-    return nodes.join(final, F.col("node") == F.col("c"), "left").select(
+    pointers = settle(reduce(DataFrame.unionByName, rounds))
+    span = 1
+    while span < len(rounds):
+        onward = pointers.toDF("_c", "_next")
+        pointers = settle(
+            pointers.join(onward, F.col("target") == F.col("_c"), "left").select(
+                "c", F.coalesce("_next", "target").alias("target")
+            )
+        )
+        span *= 2
+    return nodes.join(pointers, F.col("node") == F.col("c"), "left").select(
         "node", F.coalesce("target", "node").alias("community")
     )
 

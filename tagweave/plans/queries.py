@@ -425,8 +425,8 @@ def keyword_community(spark, d):
 
 @query
 def flow_community(spark, d):
-    g = networks.keyword_graph(tables.line_keywords(spark, d), 2, tables.STOP)
-    return communities.number_communities(flow_communities(g.edges))
+    found = flow_communities(_links(spark, d), *PAIR)
+    return communities.number_communities(found)
 
 
 @query
