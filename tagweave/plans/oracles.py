@@ -112,6 +112,7 @@ def _stem_ctes() -> list[str]:
     v = vocabulary
     positive, above = has(v.MEASURE_POSITIVE), has(v.MEASURE_ABOVE_ONE)
     repair = f"(suffix IN ('ed', 'ing') AND {has(v.HAS_VOWEL)})"
+    base = "(stem || CASE suffix WHEN 'logi' THEN 'l' ELSE '' END)"
     last, before = "right(w, 1)", "substr(w, length(w) - 1, 1)"
     doubled = (
         f"(length(w) > 1 AND {last} = {before}"
@@ -150,7 +151,7 @@ def _stem_ctes() -> list[str]:
         cut("t6", "s5", v.STEP_2),
         step("s6", "t6",
              f"CASE WHEN suffix <> '' AND"
-             f" {has(v.MEASURE_POSITIVE, chr(40) + 'stem || CASE suffix WHEN ' + _quote('logi') + ' THEN ' + _quote('l') + ' ELSE ' + _quote('') + ' END' + chr(41))}"
+             f" {has(v.MEASURE_POSITIVE, base)}"
              f" THEN stem || {lookup(v.STEP_2)} ELSE w END"),
         cut("t7", "s6", v.STEP_3),
         step("s7", "t7",
