@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.attribution import token_counts
 from tagweave.llm.common import table
+from tagweave.llm.embeddings import near_vectors
+from tagweave.llm.language_model import score_texts
 from tagweave.llm.line_dedup import dedup_lines
 from tagweave.llm.mixing import mix_single
 from tagweave.llm.packing import pack_documents
+from tagweave.llm.pii import find_personal_data
 from tagweave.llm.quality import quality_rules
+from tagweave.llm.secrets import find_secrets
 from tagweave.llm.simhash import hex_fingerprint, near_duplicates
 
 
@@ -20,6 +24,22 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def token_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -46,6 +66,10 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": line_dedup,
+    "op2_embeddings": embeddings,
+    "op3_lm": language_model,
+    "op4_pii": personal_data,
+    "op5_secrets": secret_scan,
     "op6_token_counts": token_sections,
     "op7_simhash": simhash,
     "op8_quality": quality,
