@@ -73,7 +73,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
         for doc, text, *more in zip(*columns, strict=True):
             text = text or ""
             if given:
-                spans = np.array([[s[0], s[1]] for s in more[0] or []], np.int64).reshape(-1, 2)
+                spans = np.array([list(s.values())[:2] for s in more[0] or []], np.int64).reshape(-1, 2)
                 starts, ends = spans[:, 0], spans[:, 1]
             else:
                 starts, ends = line_spans(text)

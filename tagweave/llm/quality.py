@@ -184,4 +184,9 @@ def quality_rules(
         "base_failed",
         (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")),
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
+    ).withColumn(
+        "kept",
+        # the partition number is always 0 or more; it keeps filters on these columns from being
+        # moved below them, where each use would compute the texts' arrays again
+        ~F.col("base_failed") & (F.col("ratio") >= threshold) & (F.spark_partition_id() >= 0),
+    )
