@@ -8,7 +8,7 @@ WORDS = [f"alpha{i} beta{i * 7 % 90} gamma{i % 40}" for i in range(400)]
 
 
 def text(i):
-    return "\n".join(" ".join(WORDS[(i * 31 + 5 * k + j) % 400] for j in range(9)) for k in range(4))
+    return "\n".join(" ".join(WORDS[(i * 31 + 13 * k + j) % 400] for j in range(9)) for k in range(4))
 
 
 def test_stages(spark, tmp_path):
