@@ -50,9 +50,9 @@ BURN_IN = 1
 SAMPLES = 3
 EXACT = 64
 FOLDS, HELD_OUT = 5, 1
-CHUNK_TOKENS = 1 << 20
-CHUNK_DOCS = 1 << 16
-REMEMBERED = 400_000
+CHUNK_TOKENS = 1 << 19
+CHUNK_DOCS = 1 << 16  # a document's place in its chunk has 16 bits
+REMEMBERED = 200_000
 END = xxhash.xxh64_intdigest(b" ")  # no word has a space
 
 
@@ -130,8 +130,8 @@ def _part_of(words: np.ndarray, contexts: np.ndarray, heavy: np.ndarray, parts:
     return ((mixed & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
 
 
-COUNTED = "part long, chunk long, words binary, contexts binary, n binary, train binary, docs binary"
-BLOB_NAMES = ["words", "contexts", "n", "train", "docs"]
+COUNTED = "part long, chunk long, words binary, word_keys binary, contexts binary, n binary, train binary, docs binary"
+BLOB_NAMES = ["words", "word_keys", "contexts", "n", "train", "docs"]
 
 
 def _count_chunks(heavy: np.ndarray, parts: int):
@@ -143,7 +143,7 @@ def _count_chunks(heavy: np.ndarray, parts: int):
 
     def row(part: int, chunk: int, *blobs: np.ndarray) -> pa.RecordBatch:
         values = [part, chunk, *(b.tobytes() for b in blobs)]
-        kinds = [pa.int64()] * 2 + [pa.binary()] * 5
+        kinds = [pa.int64()] * 2 + [pa.binary()] * 6
         return pa.RecordBatch.from_arrays(
             [pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names
         )
@@ -154,7 +154,8 @@ def _count_chunks(heavy: np.ndarray, parts: int):
             held = np.array([is_held_out(d) for d in ids])
             null = np.array([d is None for d in ids])
             numbers = np.array([0 if d is None else d for d in ids], np.int64)
-            yield row(-1 - chunk, chunk, numbers, sizes.astype(np.int64), held, null, np.array([], bool))
+            none = np.array([], bool)
+            yield row(-1 - chunk, chunk, numbers, none, sizes.astype(np.int64), held, null, none)
             docs = np.repeat(np.arange(len(ids)), sizes)
             before = np.empty_like(tokens)
             before[1:] = tokens[:-1]
@@ -179,14 +180,16 @@ def _count_chunks(heavy: np.ndarray, parts: int):
                 k = order[bounds[p] : bounds[p + 1]]
                 if len(k):
                     t = token_order[token_bounds[p] : token_bounds[p + 1]]
+                    own, own_keys = np.unique(key_words[k], return_counts=True)
                     yield row(
                         p,
                         chunk,
-                        key_words[k],
+                        own,
+                        own_keys.astype(np.uint32),
                         key_contexts[k].astype(np.uint16),
                         n[k].astype(np.uint32),
                         train[k].astype(np.uint32),
-                        docs[t].astype(np.uint32),
+                        docs[t].astype(np.uint16),
                     )
             chunk += 1
 
@@ -210,7 +213,9 @@ def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
             columns=[c.split()[0] for c in MODEL.split(", ")],
         )
     column = lambda c, kind: [np.frombuffer(b, kind) for b in pdf[c]]
-    words = np.concatenate(column("words", np.uint64))
+    words = np.repeat(
+        np.concatenate(column("words", np.uint64)), np.concatenate(column("word_keys", np.uint32))
+    )
     contexts = np.concatenate(column("contexts", np.uint16))
     sizes = [len(x) for x in column("contexts", np.uint16)]
     known, number = np.unique(words, return_inverse=True)
@@ -446,7 +451,7 @@ def train(keys: DataFrame, heavy: np.ndarray) -> tuple[dict, list[tuple[Totals,
     return model, history
 
 
-SCORES = "chunk long, sizes binary, ids binary, held binary, nulls binary, known binary, base binary, score binary"
+SCORES = "chunk long, sizes binary, ids binary, held binary, nulls binary, docs binary, known binary, base binary, score binary"
 
 
 def _score_part(model: dict, history: list[tuple[Totals, np.ndarray]]):
@@ -454,7 +459,7 @@ def _score_part(model: dict, history: list[tuple[Totals, np.ndarray]]):
     names = [c.split()[0] for c in SCORES.split(", ")]
 
     def row(*values) -> pa.RecordBatch:
-        kinds = [pa.int64()] + [pa.binary()] * 7
+        kinds = [pa.int64()] + [pa.binary()] * 8
         return pa.RecordBatch.from_arrays(
             [pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names
         )
@@ -464,7 +469,7 @@ def _score_part(model: dict, history: list[tuple[Totals, np.ndarray]]):
             for r in batch.to_pylist():
                 if r["part"] < 0:
                     chunk = int(np.frombuffer(r["chunks"], np.int64)[0])
-                    yield row(chunk, r["word_keys"], r["words"], r["contexts"], r["train"], None, None, None)
+                    yield row(chunk, r["word_keys"], r["words"], r["contexts"], r["train"], None, None, None, None)
                     continue
                 part = Part(r, model)
                 mean = np.zeros(len(part.c))
@@ -481,20 +486,21 @@ def _score_part(model: dict, history: list[tuple[Totals, np.ndarray]]):
                 base = np.log10(count + 0.5)[part.word]
                 index = np.frombuffer(r["key_index"], np.uint32)
                 n = np.frombuffer(r["n"], np.uint32)
-                docs = np.frombuffer(r["docs"], np.uint32)
+                docs = np.frombuffer(r["docs"], np.uint16)
                 numbers, sizes = np.frombuffer(r["chunks"], np.int64).reshape(2, -1)
                 ends = np.cumsum(sizes)
                 token_ends = np.append(0, np.cumsum(n, dtype=np.int64))[ends]
                 at = token_at = 0
                 for chunk, end, token_end in zip(numbers.tolist(), ends.tolist(), token_ends.tolist(), strict=True):
                     k = np.repeat(index[at:end], n[at:end])
-                    d = docs[token_at:token_end]
+                    own, d = np.unique(docs[token_at:token_end], return_inverse=True)
                     yield row(
                         chunk,
                         None,
                         None,
                         None,
                         None,
+                        own.tobytes(),
                         np.bincount(d, known[k]).astype(np.uint32).tobytes(),
                         np.bincount(d, base[k]).tobytes(),
                         np.bincount(d, score[k]).tobytes(),
@@ -520,10 +526,10 @@ def _add_up(train_tokens: int, known: int):
         sums = {"known": np.zeros(len(ids)), "base": np.zeros(len(ids)), "score": np.zeros(len(ids))}
         parts = pdf[pdf["base"].notna()]
         # in a fixed order, so that sums of doubles agree between runs
-        for r in sorted(zip(parts["base"], parts["score"], parts["known"], strict=True)):
+        for *r, own in sorted(zip(parts["base"], parts["score"], parts["known"], parts["docs"], strict=True)):
+            own = np.frombuffer(own, np.uint16)
             for name, blob, kind in zip(("base", "score", "known"), r, (float, float, np.uint32), strict=True):
-                x = np.frombuffer(blob, kind)
-                sums[name][: len(x)] += x
+                sums[name][own] += np.frombuffer(blob, kind)
         out = pd.DataFrame(
             {
                 "doc_id": pd.array(ids, "Int64"),
