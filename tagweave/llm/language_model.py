@@ -269,8 +269,9 @@ def sample_tables(
     edges = np.searchsorted(c[small], np.arange(2, EXACT + 2))
     for size in range(2, EXACT + 1):
         k = small[edges[size - 2] : edges[size - 1]]
-        for i in range(0, len(k), 1 << 16):
-            part = k[i : i + (1 << 16)]
+        block = (1 << 18) // size  # bounds the matrices below
+        for i in range(0, len(k), block):
+            part = k[i : i + block]
             # weight of t tables: S(c, t) * prod_j (strength + d (others + j)) * base ** t
             j = np.arange(size)
             steps = np.log((strength + d * (others[part][:, None] + j)) * base[part][:, None])
@@ -550,12 +551,12 @@ def _add_up(train_tokens: int, known: int):
 def score_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """One row (``RESULT``) per document; train_tokens is the number of training tokens.
 
-    ``parts``: in how many parts the words are dealt out, by default the session's number
-    of shuffle partitions; a part should fit in a task.
+    ``parts``: in how many parts the words are dealt out, by default twice the
+    session's number of shuffle partitions; a part should fit in a task.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     heavy = heavy_words(docs, parts)
     model_table = settle(
