@@ -15,7 +15,7 @@ def test_stages(spark, tmp_path):
     rows = [(i, text(i), "en", f"s{i % 4}", len(text(i))) for i in range(60)]
     rows += [(100, text(3), "en", "s1", 9), (101, "too short", "en", "s1", 9), (102, None, None, None, None), (100, text(3), "en", "s1", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     seen = {}
     for name, stage in STAGES:
         path = f"{tmp_path}/{name}"
