@@ -101,6 +101,10 @@ def flatten_keywords(df: DataFrame, source: str, out: str = "nodes") -> DataFram
     return df.select(F.explode(col).alias(out)).dropna(subset=[out])
 
 
+# letters, marks, digits and connectors make up words
+WORD_SIGN = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+
+
 def replace_all(col: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Literal substring rewrites, applied one after the other."""
     for old, new in rules:
@@ -123,7 +127,7 @@ def strip_markup(col: Column, whole_word: bool = False) -> Column:
     col = F.regexp_replace(col, PARENTHESES, "")
     col = replace_all(col, [("&", " "), (":", " ")])
     if whole_word:
-        col = F.regexp_replace(col, r"(?U)\band\b", "")
+        col = F.regexp_replace(col, f"(?<![{WORD_SIGN}])and(?![{WORD_SIGN}])", "")
     else:
         col = replace_all(col, [("and", "")])
     return F.regexp_replace(col, WHITESPACE, " ")

@@ -15,15 +15,13 @@ def betweenness(
     edges: DataFrame,
     src: str = "src",
     dst: str = "dst",
-    sources: int | None = None,
     pairs_per_batch: int = PAIRS_PER_BATCH,
 ) -> DataFrame:
     """``(node, betweenness)``: undirected, unweighted, each pair counted once.
 
     Parallel edges are separate paths. One row per source and reached node is
     held at a time, so sources go in as many batches as ``pairs_per_batch``
-    asks for. ``sources`` draws that many of them and scales the sum up (Brandes
-    & Pich 2007); without it the result is exact.
+    asks for. The result is exact.
     """
     edges = settle(edges.select(src, dst))
     one_way = edges.select(F.col(src).alias("v"), F.col(dst).alias("w")).where(
@@ -40,25 +38,17 @@ def betweenness(
         .withColumn("_draw", F.xxhash64("node"))
     )
     n_nodes = nodes.count()
-    chosen, scale = nodes, 1.0
-    if sources is not None and sources < n_nodes:
-        chosen = settle(nodes.orderBy("_draw", "node").limit(sources))
-        scale = n_nodes / sources
-
     n_batches = _batches(edges, src, dst, n_nodes, pairs_per_batch)
-    parts = []
+    # one running sum, written after each batch
+    total = nodes.select("node", F.lit(0.0).alias("part"))
     for batch in range(n_batches):
-        starts = chosen
+        starts = nodes
         if n_batches > 1:
-            starts = chosen.where(F.pmod("_draw", F.lit(n_batches)) == batch)
-        parts += _dependencies(starts.select(F.col("node").alias("s")), adjacency)
-
-    total = nodes.select("node", F.lit(0.0).alias("part"))
-    for part in parts:
-        total = total.unionByName(part)
-    return total.groupBy("node").agg(
-        (F.sum("part") * F.lit(scale / 2)).alias("betweenness")
-    )
+            starts = nodes.where(F.pmod("_draw", F.lit(n_batches)) == batch)
+        for part in _dependencies(starts.select(F.col("node").alias("s")), adjacency):
+            total = total.unionByName(part)
+        total = settle(total.groupBy("node").agg(F.sum("part").alias("part")))
+    return total.select("node", (F.col("part") / 2).alias("betweenness"))
 
 
 def _batches(edges, src, dst, n_nodes: int, pairs_per_batch: int) -> int:

@@ -16,12 +16,9 @@ from pyspark.sql import functions as F
 from tagweave.operators.lineage import settle
 from tagweave.operators.ranking import dense_id
 
-# Beyond this many followers a community takes any that raise modularity, not
-# only those for which it stays the best choice.
-CROWD = 32
 SLICES = 16
-# Node moves end when a round of them adds less than this to modularity.
-LEAST_RISE = 1e-3
+# what sums of doubles can be off by
+ROUNDING = 1e-12
 
 _EXACT = "decimal(38,0)"
 
@@ -68,25 +65,14 @@ def gains(links: DataFrame, masses: DataFrame, m: int) -> DataFrame:
 
 
 def preferences(gaining: DataFrame) -> DataFrame:
-    """Each community's best pair: highest gain, then the tie value, then ids.
-
-    Also the gain of its second choice. Two rows per community are all that is
-    asked for, so Spark cuts the groups to two before the shuffle.
-    """
+    """Each community's best pair: highest gain, then the tie value, then ids."""
     ends = gaining.select(
         F.explode(F.array("lo", "hi")).alias("c"), "g", "tie", "lo", "hi", "e"
     )
-    by_gain = Window.partitionBy("c").orderBy(F.desc("g"), "tie", "lo", "hi")
-    ranked = ends.withColumn("place", F.row_number().over(by_gain)).where(
-        F.col("place") <= 2
-    )
-    first = F.col("place") == 1
-    return ranked.groupBy("c").agg(
-        *[F.max(F.when(first, F.col(x))).alias(x) for x in ("g", "lo", "hi", "e")],
-        F.coalesce(F.max(F.when(~first, F.col("g"))), F.lit(0))
-        .cast(_EXACT)
-        .alias("second"),
+    best = F.min_by(
+        F.struct("g", "lo", "hi", "e"), F.struct((-F.col("g")).alias("loss"), "tie", "lo", "hi")
     )
+    return ends.groupBy("c").agg(best.alias("best")).select("c", "best.*")
 
 
 def mutual_pairs(prefs: DataFrame) -> DataFrame:
@@ -129,17 +115,17 @@ def merge_round(prefs: DataFrame, masses: DataFrame, m: int) -> DataFrame:
         .agg(F.sum("a").alias("a_pair"))
     )
     classes = follower.groupBy("target", "sparsity", "slice").agg(
-        F.sum("a").alias("a_class"), F.count("*").alias("n_class")
+        F.sum("a").alias("a_class")
     )
-    by_target = Window.partitionBy("target")
-    so_far = by_target.orderBy(F.asc("sparsity"), F.desc("slice")).rowsBetween(
-        Window.unboundedPreceding, 0
+    so_far = (
+        Window.partitionBy("target")
+        .orderBy(F.asc("sparsity"), F.desc("slice"))
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
     ahead = (
         classes.withColumn("a_ahead", F.sum("a_class").over(so_far))
-        .withColumn("n_followers", F.sum("n_class").over(by_target))
         .join(pair_mass, "target")
-        .drop("a_class", "n_class")
+        .drop("a_class")
     )
     bound = F.lit(2 * m).cast("decimal(19,0)") * F.col("e").cast("decimal(19,0)") - F.col(
         "a"
@@ -149,10 +135,7 @@ def merge_round(prefs: DataFrame, masses: DataFrame, m: int) -> DataFrame:
     accepted = (
         follower.join(ahead, ["target", "sparsity", "slice"])
         .withColumn("bound", bound.cast(_EXACT))
-        .where(
-            (F.col("bound") > 0)
-            & ((F.col("bound") >= F.col("second")) | (F.col("n_followers") > CROWD))
-        )
+        .where(F.col("bound") > 0)
         .select("c", "target")
     )
     return pairs.select(F.col("hi").alias("c"), F.col("lo").alias("target")).unionByName(
@@ -280,18 +263,34 @@ def wanted_moves(
             F.max(F.when(is_own, F.col("value"))).alias("own_value"),
             F.min(F.when(~is_own, choice)).alias("best"),
         )
-        .where(-F.col("best.loss") > F.col("own_value"))
-        .select("node", F.col("best.target").alias("target"))
+        .withColumn("gain", -F.col("best.loss") - F.col("own_value"))
+        .where(F.col("gain") > 0)
+        .select("node", F.col("best.target").alias("target"), "gain")
     )
 
 
+def independent_moves(moves: DataFrame, assign: DataFrame) -> DataFrame:
+    """Moves that are the best of both the community they leave and the one they join.
+
+    No community takes part in two of them, so their gains add up exactly; the best
+    move of all is always among them.
+    """
+    moves = settle(moves.join(assign, "node").withColumnRenamed("community", "own"))
+    rank = F.struct((-F.col("gain")).alias("loss"), "node")
+    sides = moves.select(F.explode(F.array("own", "target")).alias("c"), "node", rank.alias("r"))
+    best = sides.groupBy("c").agg(F.min("r").alias("r")).select("r.node")
+    both = best.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") == 2)
+    return moves.join(both.select("node"), "node", "left_semi").select("node", "target")
+
+
 def refine(
     edges: DataFrame, assign: DataFrame, m: int, src: str = "src", dst: str = "dst"
 ) -> DataFrame:
     """Move single nodes as long as modularity rises.
 
     Moves of one round can spoil each other, so the outcome is measured, and
-    half, a quarter, … of them tried where all at once are too many.
+    half, a quarter, an eighth of them tried where all at once are too many. Where
+    none of these helps, moves whose gains add up are made. Ends when no move gains.
     """
     one_way = edges.select(F.col(src).alias("node"), F.col(dst).alias("neighbour"))
     around = settle(
@@ -310,25 +309,27 @@ def refine(
     def quality(of: DataFrame) -> float:
         return modularity(edges, of, src, dst).first()["modularity"] or 0.0
 
-    best, turn, rising = quality(assign), 0, True
-    while rising:
+    def moved(drawn: DataFrame) -> DataFrame:
+        after = assign.join(drawn.select("node", "target"), "node", "left")
+        return settle(
+            after.select("node", F.coalesce("target", "community").alias("community"))
+        )
+
+    best, turn = quality(assign), 0
+    while True:
         moves = settle(wanted_moves(around, degrees, assign, m))
         if moves.isEmpty():
-            break
-        turn, rising = turn + 1, False
+            return assign
+        turn += 1
         for share in (1, 2, 4, 8):
-            drawn = moves.where(mix(F.col("node"), F.lit(turn)) % share == 0)
-            trial = settle(
-                assign.join(drawn, "node", "left").select(
-                    "node", F.coalesce("target", "community").alias("community")
-                )
-            )
+            trial = moved(moves.where(mix(F.col("node"), F.lit(turn)) % share == 0))
             reached = quality(trial)
-            if reached > best:
-                rising = reached - best >= LEAST_RISE
-                best, assign = reached, trial
+            if reached > best + ROUNDING:
                 break
-    return assign
+        else:
+            trial = moved(independent_moves(moves, assign))
+            reached = quality(trial)
+        best, assign = reached, trial
 
 
 def modularity(

@@ -16,7 +16,6 @@ kinds of pairs then have their hot keys counted by equi-joins.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -27,12 +26,8 @@ from tagweave.operators.lineage import settle
 HOT_AT = 1000
 # a longer list of hot keys is joined by shuffle instead of broadcast
 BROADCAST_KEYS = 100_000
-# items with more keys than this are not grouped by combination
-MAX_COMBINED = 1000
-# a combination costs about as much as this many plain pairs (measured) ...
-COMBINATION_COST = 8
-# ... and is not worth asking for where keys make few pairs per row
-PAIRS_PER_ROW = 32
+# a row of a combination is wider than a plain pair
+COMBINATION_COST = 2
 
 
 def drop_stop_keywords(
@@ -70,10 +65,10 @@ def _group_sizes(rows: DataFrame, by: str, choose: int):
 def _pairs_by_combination(rows: DataFrame, size: int) -> DataFrame:
     """``(a, b, n)`` from items grouped by every combination of their keys.
 
-    A pair with ``n`` keys in common meets in ``C(n, size)`` groups, from which
-    ``n`` is read back.
+    A pair with ``n`` keys in common meets in ``C(n, size)`` groups. For two, ``n`` is
+    solved from that; for more, the common keys of the pairs found are counted.
     """
-    # a struct keeps null keys; the arrays are bounded by MAX_COMBINED
+    # a struct keeps null keys
     combos = rows.groupBy("item").agg(
         F.array_sort(F.collect_set(F.struct("key"))).alias("keys")
     )
@@ -104,10 +99,18 @@ def _pairs_by_combination(rows: DataFrame, size: int) -> DataFrame:
         .groupBy("a", "b")
         .agg(F.count("*").alias("meetings"))
     )
-    ways = [math.comb(n, size) for n in range(size, MAX_COMBINED + 1)]
-    table = ", ".join(f"{w}L" for w in ways if w < 2**63)
-    position = F.expr(f"array_position(array({table}), meetings)")
-    return meetings.select("a", "b", (position + (size - 1)).alias("n"))
+    if size == 2:
+        # the rounded root is right up to n around 10^8, far beyond what an item can combine
+        n = F.round((1 + F.sqrt(1 + 8 * F.col("meetings").cast("double"))) / 2).cast("long")
+        return meetings.select("a", "b", n.alias("n"))
+    found, rows = settle(meetings.select("a", "b")), rows.distinct()
+    same_key = F.col("x.key").eqNullSafe(F.col("y.key"))
+    return (
+        found.join(rows.alias("x"), F.col("a") == F.col("x.item"))
+        .join(rows.alias("y"), (F.col("b") == F.col("y.item")) & same_key)
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("n"))
+    )
 
 
 def _hot_keys(rows: DataFrame, hot_at: int) -> DataFrame:
@@ -202,11 +205,9 @@ def _pairs_by_key(rows: DataFrame, min_shared: int, hot_at: int) -> DataFrame:
 def _route(rows: DataFrame, min_shared: int, hot_at: int) -> str:
     """The cheaper way to the pairs, by the sizes of the groups."""
     by_key = _group_sizes(rows, "key", 2)
-    if by_key["ways"] > PAIRS_PER_ROW * by_key["rows"]:
-        by_item = _group_sizes(rows, "item", min_shared)
-        combined = by_item["ways"] * COMBINATION_COST
-        if by_item["largest"] <= MAX_COMBINED and combined <= by_key["ways"]:
-            return "combination"
+    by_item = _group_sizes(rows, "item", min_shared)
+    if by_item["ways"] * COMBINATION_COST <= by_key["ways"]:
+        return "combination"
     return "ordinary" if by_key["largest"] <= hot_at else "key"
 
 
@@ -331,7 +332,12 @@ def with_endpoint_attrs(
 
     An endpoint with several values multiplies its edges, one without gets null.
     """
-    lookup = attrs.select(F.col(id_col).alias("_id"), col).distinct()
+    edges = settle(edges)
+    # only the endpoints' attributes are sorted out, not those of the whole table
+    needed = edges.select(F.explode(F.array(*ends)).alias("_id"))
+    lookup = settle(
+        attrs.select(F.col(id_col).alias("_id"), col).join(needed, "_id", "left_semi").distinct()
+    )
     for i, end in enumerate(ends, start=1):
         side = lookup.toDF(f"_id{i}", f"{col}{i}")
         edges = edges.join(side, F.col(end) == F.col(f"_id{i}"), "left").drop(f"_id{i}")

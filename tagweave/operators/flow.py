@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.operators.communities import (
-    CROWD,
     community_graph,
     contract,
     mix,
@@ -97,7 +96,7 @@ def _first_choices(pairs: DataFrame) -> DataFrame:
 
 
 def _proposals(choices: DataFrame) -> DataFrame:
-    """``(c, target, follows)``: mutual pairs, and the followers of crowded ones."""
+    """``(c, target, follows)``: mutual pairs and their followers."""
     pairs = mutual_pairs(choices)
     members = pairs.select(
         F.explode(F.array("lo", "hi")).alias("c"), F.col("lo").alias("target")
@@ -110,8 +109,6 @@ def _proposals(choices: DataFrame) -> DataFrame:
         .join(members.withColumnRenamed("c", "member"), "member")
         .select("c", "target")
     )
-    crowded = followers.groupBy("target").count().where(F.col("count") > CROWD)
-    followers = followers.join(crowded.select("target"), "target", "left_semi")
     return members.withColumn("follows", F.lit(False)).unionByName(
         followers.withColumn("follows", F.lit(True))
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.operators.lineage import settle
 from tagweave.operators.ranking import dense_id
 
 
@@ -78,12 +79,12 @@ def degree(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
 
 
 def adjacency_list(
-    edges: DataFrame, src: str, dst: str, max_len: int = 1024
+    edges: DataFrame, src: str, dst: str
 ) -> DataFrame:
-    """Sorted neighbours per node, both ways, as ``(node, part, neighbours)``.
+    """Neighbours of each node, both ways, as ``(node, position, neighbour)``.
 
-    A node with more than ``max_len`` neighbours has its list spread over
-    several parts, so no array grows with the graph.
+    Positions count from 0 in order of the neighbours. Rows rather than arrays,
+    so a hub's list can be sorted on disk.
     """
     both = (
         edges.select(F.col(src).alias("node"), F.col(dst).alias("neighbour"))
@@ -92,15 +93,8 @@ def adjacency_list(
         )
         .distinct()
     )
-    parts = both.groupBy("node").agg(
-        F.ceil(F.count("*") / F.lit(max_len)).alias("_parts")
-    )
-    return (
-        both.join(parts, "node")
-        .withColumn("part", F.pmod(F.xxhash64("neighbour"), F.col("_parts")))
-        .groupBy("node", "part")
-        .agg(F.array_sort(F.collect_list("neighbour")).alias("neighbours"))
-    )
+    place = F.row_number().over(Window.partitionBy("node").orderBy("neighbour"))
+    return both.select("node", (place - 1).cast("long").alias("position"), "neighbour")
 
 
 def name_endpoints(
@@ -120,7 +114,9 @@ def enrich_nodes(
     nodes: DataFrame, attrs: DataFrame, id_col: str, name: str = "name"
 ) -> DataFrame:
     """Add the distinct attribute rows of each node; more than one multiply it."""
-    side = attrs.distinct().withColumnRenamed(id_col, "_key")
+    nodes = settle(nodes)
+    needed = nodes.select(F.col(name).alias("_key"))
+    side = attrs.withColumnRenamed(id_col, "_key").join(needed, "_key", "left_semi").distinct()
     return nodes.join(side, F.col(name) == F.col("_key"), "left").drop("_key")
 
 

@@ -78,14 +78,12 @@ def paper_graph(
     stop: Sequence[str] | DataFrame = STOP_KEYWORDS,
     min_shared: int = 2,
     hot_at: int = HOT_AT,
-    sources: int | None = None,
 ) -> Graph:
     """The enriched paper network.
 
     ``keywords`` has one row per report and keyword, ``catalogue`` one per
     report (``new_theme`` and any further attributes). Nodes get community,
     betweenness, degree, the attributes and their first three keywords.
-    ``sources`` samples the betweenness.
     """
     edges = theme_edges(keywords, catalogue, theme, stop, min_shared, hot_at)
     graph = build_graph(settle(edges))
@@ -93,7 +91,7 @@ def paper_graph(
     ends = links.select("src", "dst")
     metrics = (
         number_communities(greedy_communities(ends))
-        .join(betweenness(ends, sources=sources), "node")
+        .join(betweenness(ends), "node")
         .join(degree(ends), "node")
         .withColumnRenamed("node", "id")
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tagweave.functions import text, vocabulary
-from tagweave.operators.communities import CROWD, SLICES
+from tagweave.operators.communities import SLICES
 from tagweave.plans.queries import PROSE_STOP_WORDS, PROSE_SYNONYMS
 from tagweave.plans.tables import STOP, THEME
 
@@ -82,6 +82,11 @@ def _clean(drop_and: str) -> str:
     )
 
 
+def _without_and(c: str) -> str:
+    sign = text.WORD_SIGN.replace("{", "{{").replace("}", "}}")
+    return rf"regexp_replace({c}, '(^|[^{sign}])and([^{sign}]|$)', '\1\2', 'g')"
+
+
 def _phrase(expr: str) -> str:
     return _with(PHRASES, f"SELECT doc_id, {expr} AS new_label FROM phrases")
 
@@ -306,13 +311,11 @@ choice AS (
   SELECT *, row_number() OVER (PARTITION BY c ORDER BY g DESC, tie, lo, hi) AS rn
   FROM (SELECT lo AS c, * FROM gain WHERE g > 0
         UNION ALL SELECT hi, * FROM gain WHERE g > 0)),
-prefs AS (
-  SELECT a.*, coalesce(b.g, 0) AS second
-  FROM choice a LEFT JOIN choice b ON a.c = b.c AND b.rn = 2 WHERE a.rn = 1),
+prefs AS (SELECT * FROM choice WHERE rn = 1),
 mutual AS (SELECT lo, hi FROM prefs GROUP BY lo, hi HAVING count(*) = 2),
 members AS (SELECT lo AS c, lo AS target FROM mutual UNION ALL SELECT hi, lo FROM mutual),
 follower AS (
-  SELECT p.c, p.e, p.second, d.degree AS a, t.target,
+  SELECT p.c, p.e, d.degree AS a, t.target,
          length(bin(d.degree // p.e)) AS sparsity,
          (p.c % 2147483647 * 715827883) % 2147483647 % {SLICES} AS slice
   FROM prefs p JOIN members t ON t.c = CASE WHEN p.lo = p.c THEN p.hi ELSE p.lo END
@@ -323,15 +326,13 @@ bounded AS (
          (SELECT sum(degree) FROM members JOIN degrees ON node = c
           WHERE members.target = f.target) AS a_pair,
          sum(a) OVER (PARTITION BY target ORDER BY sparsity, slice DESC
-                      RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a_ahead,
-         count(*) OVER (PARTITION BY target) AS n_followers
+                      RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a_ahead
   FROM follower f),
 merges AS (
   SELECT hi AS c, lo AS target FROM mutual
   UNION ALL
   SELECT c, target FROM bounded, m
-  WHERE 2 * m * e - a * (a_pair + a_ahead - a) > 0
-    AND (2 * m * e - a * (a_pair + a_ahead - a) >= second OR n_followers > {CROWD}))"""
+  WHERE 2 * m * e - a * (a_pair + a_ahead - a) > 0)"""
 
 
 def _te(*parts: str) -> str:
@@ -350,6 +351,8 @@ ORACLES: dict[str, str] = {
           FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
         GROUP BY nodes""",
     "clean_label": _clean("replace({c}, 'and', '')"),
+    # twice, as neighbouring words share the sign between them
+    "clean_label_whole_word": _clean(_without_and(_without_and("{c}"))),
     "synonyms": _phrase(_replace("label", PROSE_SYNONYMS)),
     "decapitalize": _phrase(_decapitalize("label")),
     "strip_punct": _phrase(
@@ -435,9 +438,9 @@ ORACLES: dict[str, str] = {
     "degree": _te(DEGREE, "SELECT node, degree FROM degrees"),
     "adjacency": _te(
         ADJ,
-        """SELECT v AS node, 0::BIGINT AS part,
-                  string_agg(w::VARCHAR, ',' ORDER BY w) AS neighbours
-           FROM (SELECT DISTINCT v, w FROM adj) GROUP BY v""",
+        """SELECT v AS node, row_number() OVER (PARTITION BY v ORDER BY w) - 1 AS position,
+                  w AS neighbour
+           FROM (SELECT DISTINCT v, w FROM adj)""",
     ),
     "named_edges": _te(
         INDEX, NUMBERED,
@@ -522,6 +525,13 @@ ORACLES: dict[str, str] = {
         FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i
               FROM embeddings)""",
     "components": _te(ADJ, COMPONENTS, "SELECT node, component FROM components"),
+    "component_numbers": _te(
+        ADJ, COMPONENTS,
+        """SELECT node, number AS community
+           FROM components JOIN (
+             SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) AS number
+             FROM components GROUP BY component) USING (component)""",
+    ),
     "betweenness": _te(ADJ, COMPONENTS, PATHS, "SELECT node, betweenness FROM scores"),
     "modularity": _te(
         DEGREE, ADJ, COMPONENTS,

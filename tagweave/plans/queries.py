@@ -179,10 +179,7 @@ def shared_keywords(spark, d):
     kept = cooccur.drop_stop_keywords(
         tables.line_keywords_with_nulls(spark, d), tables.STOP
     )
-    rows = cooccur.cooccurrence_pairs(
-        kept, REPORT, "new_label", names=(*PAIR, "new_label")
-    )
-    return cooccur.shared_keyword_counts(rows, PAIR, "new_label")
+    return cooccur.shared_pairs(kept, REPORT, "new_label", names=(*PAIR, "shared_keywords"))
 
 
 @query
@@ -267,8 +264,7 @@ def degree(spark, d):
 
 @query
 def adjacency(spark, d):
-    lists = graph.adjacency_list(settle(_links(spark, d)), *PAIR)
-    return lists.withColumn("neighbours", F.array_join("neighbours", ","))
+    return graph.adjacency_list(settle(_links(spark, d)), *PAIR)
 
 
 @query
@@ -384,6 +380,13 @@ def components(spark, d):
     return connected_components(_links(spark, d), *PAIR)
 
 
+@query
+def component_numbers(spark, d):
+    """Components as 1, 2, 3, … by falling size, then by smallest node."""
+    parts = connected_components(_links(spark, d), *PAIR)
+    return communities.number_communities(settle(parts.toDF("node", "community")))
+
+
 @query
 def betweenness(spark, d):
     scores = node_betweenness(_links(spark, d), *PAIR)

@@ -21,14 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, text)``, in no fewer partitions than there are cores.
-
-    A small file of one row group would leave all but one core idle. On large
-    tables the scan has more partitions than that, and nothing is moved.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    """``(doc_id, text)``; how finely it is split is the session's setting."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def line_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,33 +7,50 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tagweave.sources import schemas
 
 
-def _read(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        # keywords and titles may hold quotes, commas and line breaks
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
-    return reader.format(fmt).load(path)
+def _read(
+    spark: SparkSession, path: str, fmt: str, schema: str, multi_line: bool
+) -> DataFrame:
+    """CSV columns are found by their names in snake case, wherever they stand.
+
+    A file with line breaks inside fields needs ``multi_line``, which reads it in
+    one task.
+    """
+    if fmt != "csv":
+        return spark.read.schema(schema).format(fmt).load(path)
+    rows = snake_case_columns(
+        spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"').csv(path)
+    )
+    fields = StructType.fromDDL(schema).fields
+    missing = [f.name for f in fields if f.name not in rows.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
 
 
-def read_catalogue(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_catalogue(
+    spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = False
+) -> DataFrame:
     """One row per report, with its delimited keyword string."""
-    return _read(spark, path, fmt, schemas.CATALOGUE)
+    return _read(spark, path, fmt, schemas.CATALOGUE, multi_line)
 
 
 def read_report_keywords(
-    spark: SparkSession, path: str, fmt: str = "parquet"
+    spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = False
 ) -> DataFrame:
     """One row per report and keyword, as :func:`write_report_keywords` stores it."""
-    return _read(spark, path, fmt, schemas.REPORT_KEYWORD)
+    return _read(spark, path, fmt, schemas.REPORT_KEYWORD, multi_line)
 
 
-def read_nodes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_nodes(
+    spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = False
+) -> DataFrame:
     """Keyword nodes, as :func:`write_nodes` stores them."""
-    return _read(spark, path, fmt, schemas.KEYWORD_NODE)
+    return _read(spark, path, fmt, schemas.KEYWORD_NODE, multi_line)
 
 
 def read_gephi_edges(spark: SparkSession, path: str) -> DataFrame:

@@ -44,6 +44,7 @@ def skewed():
 def test_shared_pairs_match_brute_force(spark, skewed, min_shared, route):
     df = spark.createDataFrame(skewed, "item long, key string")
     if route == "combination" and min_shared > 2:
+        # an item with many keys has too many combinations for a test
         df = df.where("item <> 99")
         expected = brute_force([r for r in skewed if r[0] != 99], min_shared)
     else:
@@ -52,6 +53,13 @@ def test_shared_pairs_match_brute_force(spark, skewed, min_shared, route):
     assert as_dict(found) == expected
 
 
+@pytest.mark.parametrize("route", ["combination", "key", "ordinary"])
+def test_many_common_keys_are_counted(spark, route):
+    rows = spark.range(1010).selectExpr("explode(array(1L, 2L)) AS item", "id AS key")
+    found = cooccur.shared_pairs(rows, "item", "key", 2, route=route)
+    assert as_dict(found) == {(1, 2): 1010}
+
+
 def test_threshold_one_is_refused(spark):
     df = spark.createDataFrame([(1, "a")], "item long, key string")
     with pytest.raises(ValueError):
@@ -77,7 +85,7 @@ def test_route_follows_group_sizes(spark):
     hot = [(i, k) for i in range(400) for k in ("a", f"k{i}")]
     rows = spark.createDataFrame(hot, "item long, key string")
     assert cooccur._route(rows, 2, 1000) == "combination"
-    few = spark.createDataFrame([(i, f"k{i % 50}") for i in range(100)], "item long, key string")
+    few = spark.createDataFrame([(i // 3, f"k{i % 50}") for i in range(100)], "item long, key string")
     assert cooccur._route(few, 2, 1000) == "ordinary"
     assert cooccur._route(few, 2, 1) == "key"
 

@@ -114,12 +114,18 @@ def test_betweenness_matches_brandes_in_batches(spark):
     assert out == pytest.approx(expected)
 
 
-def test_sampled_betweenness_covers_all_nodes(spark):
-    edges = random_graph(4, 20, 0.2)
-    out = betweenness(edge_df(spark, edges), sources=8)
-    assert out.count() == len({v for e in edges for v in e})
-    everyone = {r["node"]: r["betweenness"] for r in betweenness(edge_df(spark, edges), sources=999).collect()}
-    assert everyone == pytest.approx(brandes(edges))
+@pytest.mark.parametrize("leaves", [31, 32, 33, 60])
+def test_hubs_of_any_size_keep_their_leaves(spark, leaves):
+    edges = [(0, i) for i in range(1, leaves + 1)] + [(500, 501), (501, 502), (502, 500), (1, 500)]
+    found = {r["node"]: r["community"] for r in communities.greedy_communities(edge_df(spark, edges)).collect()}
+    assert {found[i] for i in range(2, leaves + 1)} == {found[0]} != {found[502]}
+
+
+def test_independent_moves_touch_a_community_once(spark):
+    assign = spark.createDataFrame([(i, i % 4) for i in range(12)], "node long, community long")
+    moves = spark.createDataFrame([(0, 1, 5), (4, 1, 9), (1, 2, 7), (2, 3, 3), (3, 2, 8)], "node long, target long, gain long")
+    got = {tuple(r) for r in communities.independent_moves(moves, assign).collect()}
+    assert got == {(4, 1), (3, 2)}
 
 
 def test_components(spark):
@@ -226,13 +232,10 @@ def test_directed_ends_stay(spark):
     assert all(r["src"] <= r["dst"] for r in flat.collect())
 
 
-def test_adjacency_splits_long_lists(spark):
+def test_adjacency_lists_neighbours_in_order(spark):
     edges = edge_df(spark, [(0, i) for i in range(1, 51)] + [(1, 0)])
-    lists = graph.adjacency_list(edges, "src", "dst", max_len=10).collect()
-    hub = [r for r in lists if r["node"] == 0]
-    assert len(hub) > 1
-    assert sorted(x for r in hub for x in r["neighbours"]) == list(range(1, 51))
-    assert all(r["neighbours"] == [0] and r["part"] == 0 for r in lists if r["node"])
+    lists = {tuple(r) for r in graph.adjacency_list(edges, "src", "dst").collect()}
+    assert lists == {(0, i, i + 1) for i in range(50)} | {(i, 0, 0) for i in range(1, 51)}
 
 
 def test_first_keywords_and_tops(spark):

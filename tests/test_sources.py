@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from tagweave import sources
@@ -30,6 +31,21 @@ def test_catalogue_round_trip(spark, tmp_path):
     assert rows[1]["key_words"] is None
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "shuffled.csv"
+    path.write_text(
+        "Key words,Theme,Report Note Number,Available at,Researcher,Published date,Research report title\n"
+        '"x; y",Safety,RR 7,http://b,Lab,2021-02-03,T\n'
+    )
+    row = sources.read_catalogue(spark, str(path), "csv").first()
+    assert (row["report_note_number"], row["key_words"], row["theme"]) == ("RR 7", "x; y", "Safety")
+    assert row["published_date"].isoformat() == "2021-02-03"
+    short = tmp_path / "short.csv"
+    short.write_text("Key words\nx\n")
+    with pytest.raises(ValueError, match="theme"):
+        sources.read_catalogue(spark, str(short), "csv")
+
+
 def test_report_keywords_and_nodes_round_trip(spark, tmp_path):
     rk = spark.createDataFrame(
         [("RR 1", "T", "a, b", "Safety", "Lab", None, "u", "a", "a")], schemas.REPORT_KEYWORD
