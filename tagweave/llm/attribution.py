@@ -5,10 +5,13 @@ sections have spans too, and tokens are joined to sections by interval. A token
 several sections goes to the one that holds most of its bytes; of equals, to the first.
 It counts as crossing there. Bytes outside all sections count for section -1.
 
-Sections are given as ``sections``, an array of (start, end) in code points, disjoint and in
-order; without that column they are the lines of the text, each with its newline. A null or
-empty text has one empty section with no tokens. Repeated rows are counted one by one,
-null ids pass through, and empty tables give empty results.
+Sections are the lines of the text, each with its newline, or what the column named by the
+parameter ``sections`` holds: an array of (start, end) in code points. Ends beyond the text
+are cut back to it, null sections and null bounds are left out, sections are sorted by start, and
+where two overlap the later one begins at the end of the earlier one. A null or empty text has
+one empty section with no tokens (none where a given array is null or empty). Repeated rows are
+counted one by one, null ids pass through, empty tables give empty results; other columns,
+whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -60,11 +63,21 @@ def attribute(
     return section, crossing
 
 
-def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
+def given_spans(sections: list | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted, disjoint starts and ends inside the text."""
+    bounds = [tuple(s.values())[:2] for s in sections or [] if s is not None]
+    spans = np.array(sorted(b for b in bounds if None not in b), np.int64).reshape(-1, 2)
+    ends = np.maximum.accumulate(np.clip(spans[:, 1], 0, length)) if len(spans) else spans[:, 1]
+    starts = np.clip(spans[:, 0], 0, length)
+    starts = np.maximum(starts, np.append(0, ends[:-1])[: len(starts)])
+    return starts, np.maximum(starts, ends)
+
+
+def token_counts(docs: DataFrame, path: str | None = None, sections: str | None = None) -> DataFrame:
     """One row per section (``SCHEMA``); section -1 only where it has tokens."""
     path = path or default_path()
     short_batches(docs.sparkSession)
-    given = "sections" in docs.columns
+    given = sections is not None
 
     def rows(batch: pa.RecordBatch) -> dict:
         encoder = Encoder.of(path)
@@ -73,8 +86,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
         for doc, text, *more in zip(*columns, strict=True):
             text = text or ""
             if given:
-                spans = np.array([list(s.values())[:2] for s in more[0] or []], np.int64).reshape(-1, 2)
-                starts, ends = spans[:, 0], spans[:, 1]
+                starts, ends = given_spans(more[0], len(text))
             else:
                 starts, ends = line_spans(text)
             sizes = encoder.lengths[encoder.encode(text)]
@@ -97,5 +109,5 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 column += values.tolist()
         return dict(zip(_ARROW.names, parts, strict=True))
 
-    cols = [F.col("doc_id").cast("long"), "text"] + ["sections"] * given
+    cols = [F.col("doc_id").cast("long"), "text", *([sections] if given else [])]
     return docs.select(*cols).mapInArrow(by_rows(rows, _ARROW), SCHEMA)

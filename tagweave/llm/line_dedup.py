@@ -9,8 +9,8 @@ Keys become 128-bit hashes. Rows (hash, document, place) are range-partitioned a
 sorted by hash, then document, then place, so equal keys are one run, also where a run is
 so long that it covers many partitions. Each partition streams its runs and marks rows
 whose document is not the first of the run. Only a partition's first run may have begun
-earlier; its rows wait for the first document of that hash, which the partitions before
-tell, one row each. The result is a compressed bitmap of kept lines per document, not text.
+earlier; its rows wait for the first document of that hash, the least of what all partitions
+tell of their own first and last runs, two rows each. The result is a compressed bitmap of kept lines per document, not text.
 
 Rows with the same doc_id and text are one document and share a bitmap. Null ids count
 as one document that comes after all others. An empty table gives an empty result.
@@ -68,11 +68,11 @@ def _line_hashes(min_chars: int):
     return by_rows(rows, schema)
 
 
-DROPPED, WAITING, LAST_RUN = 0, 1, 2
+DROPPED, WAITING, EDGE = 0, 1, 2
 
 
 def _mark_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows: dropped ones, those of the first run, and how the last run began."""
+    """Of sorted rows: dropped ones, those of the first run, and how the first and last run began."""
     task = task_number()
     run = None  # (h1, h2, first document)
     in_first = True
@@ -94,6 +94,8 @@ def _mark_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not batch.num_rows:
             continue
         h1, h2, doc, mark, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if run is None:
+            yield out(h1[:1], h2[:1], doc[:1], [0], [0], EDGE)
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         if run is not None and (h1[0], h2[0]) == run[:2]:
@@ -115,7 +117,7 @@ def _mark_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out(*(x[gone] for x in (h1, h2, doc, mark, pos)), DROPPED)
         run = (h1[-1], h2[-1], first[-1])
     if run is not None:
-        yield out([run[0]], [run[1]], [run[2]], [0], [0], LAST_RUN)
+        yield out([run[0]], [run[1]], [run[2]], [0], [0], EDGE)
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -133,9 +135,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         .sortWithinPartitions(*keys)
         .mapInArrow(_mark_repeats, f"{schema}, role int, task int")
     )
-    # one row per partition at most
+    # two rows per partition at most
     begun = (
-        marked.where(F.col("role") == LAST_RUN)
+        marked.where(F.col("role") == EDGE)
         .groupBy("h1", "h2")
         .agg(F.min("doc").alias("first"))
     )

@@ -12,7 +12,7 @@ well-filled bins of one parent whole, then the bins of the other whose pieces ar
 epoch the best of each island also joins the next island. A shard that has reached
 the bound ceil(sum / size) rests. The best solution of a shard is given real pieces.
 
-Null texts are empty and consist of the end id. Repeated rows are packed one by one. Null
+Null texts are empty and consist of the end id; a special token in a text has its own id. Repeated rows are packed one by one. Null
 ids pass through. Empty tables give empty results; other columns do not matter.
 """
 

@@ -2,8 +2,9 @@
 
 Everything runs in DataFrame expressions. Words are maximal runs without ASCII
 white space. Unigrams and bigrams of words are hashed into ``2 ** bits`` buckets.
-A multinomial over the buckets is counted on trusted documents and one on all
-documents (add-one smoothing on both); a text's score is the sum over its n-grams of
+A multinomial over the buckets is counted on all documents (add-one smoothing) and one on
+trusted documents, smoothed towards the first by ``PRIOR`` pseudo-counts a bucket, so that a
+bucket without evidence has the ratio one. A text's score is the sum over its n-grams of
 log(target / raw), divided by their number. Documents below ``threshold`` are
 rejected; each is decided by the same rule.
 
@@ -27,6 +28,7 @@ from tagweave.operators.lineage import discard, settle
 
 BITS = 13
 MAX_TRUSTED = 20_000
+PRIOR = 1.0
 THRESHOLD = -0.08
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -91,11 +93,9 @@ def ratio_table(
     ).first()
 
     def ratio(target: Column, raw: Column) -> Column:
-        return F.round(
-            F.log((target + 1) / F.lit(float(sums.all_target + n)))
-            - F.log((raw + 1) / F.lit(float(sums.all_raw + n))),
-            9,
-        )
+        share = (raw + 1) / F.lit(float(sums.all_raw + n))
+        smooth = (target + PRIOR * n * share) / F.lit(float(sums.all_target + PRIOR * n))
+        return F.round(F.log(smooth) - F.log(share), 9)
 
     if not sums.all_target:
         discard(counts)

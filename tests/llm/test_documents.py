@@ -92,6 +92,64 @@ def test_line_dedup(docs):
     assert sum(r.n_dropped for r in got) > 30
 
 
+def repeated(rows):
+    first = {}
+    for h1, h2, doc, *_ in rows:
+        first[h1, h2] = min(doc, first.get((h1, h2), doc))
+    return sorted((doc, mark, pos) for h1, h2, doc, mark, pos in rows if doc != first[h1, h2])
+
+
+def test_repeats_over_any_partitions(monkeypatch):
+    """Hundreds of small tables, cut into partitions and batches anywhere."""
+    import pyarrow as pa
+
+    from tagweave.llm import line_dedup as ld
+
+    monkeypatch.setattr(ld, "task_number", lambda: 0)
+    rng = np.random.default_rng(5)
+    names = ["h1", "h2", "doc", "mark", "pos"]
+    for _ in range(400):
+        n = int(rng.integers(1, 25))
+        rows = sorted({(int(rng.integers(0, 4)), 0, int(rng.integers(0, 5)), 7, int(p)) for p in rng.integers(0, 9, n)})
+        cuts = sorted(rng.integers(0, len(rows) + 1, int(rng.integers(0, 8))).tolist())
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+            step = int(rng.integers(1, 4))
+            batches = [
+                pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "pos" else pa.int64()) for k, c in zip(names, zip(*rows[i : min(i + step, b)]))], names=names)
+                for i in range(a, b, step)
+            ]
+            for batch in ld._mark_repeats(iter(batches)):
+                out += zip(*(c.to_pylist() for c in batch.columns))
+        begun = {}
+        for h1, h2, doc, _, _, role, _ in out:
+            if role == ld.EDGE:
+                begun[h1, h2] = min(doc, begun.get((h1, h2), doc))
+        got = [(d, m, p) for h1, h2, d, m, p, role, _ in out if role == ld.DROPPED or role == ld.WAITING and begun[h1, h2] != d]
+        assert sorted(got) == repeated(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 200])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_line_dedup_over_many_partitions(spark, parts, adaptive):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    rng = np.random.default_rng(parts)
+    texts = [(d, "\n".join(f"line number {x}" for x in rng.integers(0, 40, 6))) for d in range(30)] + [(90, "two documents share"), (91, "two documents share\nown line of it")]
+    owner = {}
+    for d, t in texts:
+        for x in t.split("\n"):
+            owner.setdefault(x, d)
+    want = Counter((d, "\n".join(x for x in t.split("\n") if owner[x] == d)) for d, t in texts)
+    try:
+        got = dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id", "kept_text").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert Counter(map(tuple, got)) == want
+
+
 def brute_print(text):
     w = (text or "").translate(FOLD)
     w = words(w)
@@ -163,7 +221,8 @@ def test_quality(docs, labels):
         if d in (1, 8):
             target.update(grams(t))
     n, m = sum(target.values()), sum(raw.values())
-    ratio = lambda b: round(np.log((target[b] + 1) / (n + 256)) - np.log((raw[b] + 1) / (m + 256)), 9)
+    share = lambda b: (raw[b] + 1) / (m + 256)
+    ratio = lambda b: round(np.log((target[b] + 256 * share(b)) / (n + 256)) - np.log(share(b)), 9)
     want = Counter()
     for d, t, *_ in ROWS:
         w, g = words(t), grams(t)
@@ -199,16 +258,48 @@ def test_attribution_rule(spark):
     # one token " tokens" crosses; most of its bytes lie in the second section
     text = "many tokens"
     docs = spark.createDataFrame([(1, text, [(0, 6), (6, 9)])], "doc_id long, text string, sections array<struct<a:int,b:int>>")
-    got = {r.section: (r.n_tokens, r.n_crossing) for r in token_counts(docs).collect()}
+    got = {r.section: (r.n_tokens, r.n_crossing) for r in token_counts(docs, sections="sections").collect()}
     assert got == {0: (1, 0), 1: (1, 1)}
 
 
+def test_attribution_by_offsets(docs):
+    """Counts and crossings per line from the library's own offsets, token by token."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_path())
+    want = Counter()
+    for d, t, *_ in ROWS:
+        t = t or ""
+        raw = t.encode()
+        edges = [0] + [i + 1 for i, b in enumerate(raw) if b == 10] + [len(raw)]
+        count, crossed, at = [0] * (len(edges) - 1), [0] * (len(edges) - 1), 0
+        for size in Encoder.of(default_path()).lengths[library.encode(t, add_special_tokens=False).ids].tolist():
+            share = [min(b, at + size) - max(a, at) for a, b in zip(edges, edges[1:])]
+            best = share.index(max(share))
+            count[best] += 1
+            crossed[best] += sum(s > 0 for s in share) > 1
+            at += size
+        assert at == len(raw)
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            want[d, k, len(raw[:a].decode()), len(raw[:b].decode()), count[k], crossed[k]] += 1
+    assert Counter(map(tuple, token_counts(docs).collect())) == want
+
+
+def test_attribution_of_odd_sections(spark):
+    rows = [(1, "many tokens here", [(6, 99), None, (0, 8), (None, 3)]), (2, "many tokens", None), (3, "", []), (4, None, [(0, 5)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<a:int,b:int>>")
+    docs = docs.withColumn("sections", F.lit("clash"))
+    got = sorted(tuple(r) for r in token_counts(docs, sections="parts").collect())
+    # the overlap belongs to the section that starts first
+    assert got == [(1, 0, 0, 8, 2, 1), (1, 1, 8, 16, 1, 0), (2, -1, 0, 11, 2, 0), (4, 0, 0, 0, 0, 0)]
+    assert token_counts(docs).count() == 4
+
+
 def test_encoding():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(default_path())
-    plain.encode_special_tokens = True
-    for text in [*(t for _, t, *_ in ROWS if t), "  a\n\n b\t\tc ", "don't 12½ 日本\x00", "a" * 3000]:
+    for text in [*(t for _, t, *_ in ROWS if t), "a<|endoftext|>b <|endoftext|> <|endoftext", " " * 300_000, "x" + "\n" * 300_000 + "y", "\u3000" * 5000 + "<|endoftext|>", "  a\n\n b\t\tc ", "don't 12½ 日本\x00", "a" * 3000]:
         assert Encoder.of(default_path()).encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
