@@ -19,7 +19,124 @@ firsts AS (
 )
 """
 
+# the table of the checksum's polynomial (reflected, 0xEDB88320), one entry per byte
+_CRC_TABLE = """
+crc_table AS (
+  SELECT list(v ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b:
+      CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM range(256) t(i)
+  )
+)
+"""
+
+
+def _crc32(text: str) -> str:
+    """Checksum of an ASCII expression; ``crc_table`` must be in scope."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return (
+        f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), "
+        "lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"
+    )
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _edit(key: str, cost: str, letter: str) -> str:
+    """Nine digits of cost and the letters so far, after one more edit."""
+    return f"(printf('%09d', substr({key}, 1, 9)::BIGINT + {cost}) || substr({key}, 10) || '{letter}')"
+
+
+def _least(*keys: str) -> str:
+    return f"list_min([{', '.join(keys)}])"
+
+
+def _after_row(last: str, before: list[str], initial: str) -> str:
+    """Cheapest edits that consume a row and leave ``last`` as the last role."""
+    options = [_edit(last, "4", "D")]
+    options += [f"CASE WHEN NOT must THEN {_edit(k, '3 + 3 * cut::INT', 'R')} END" for k in before if last != "ks"]
+    options += [f"CASE WHEN NOT must AND initial = '{initial}' THEN {_edit(k, '3 * cut::INT', 'K')} END" for k in before]
+    return _least(*options)
+
+
+_TURN_REPAIR = f"""
+WITH RECURSIVE {_CRC_TABLE},
+harmed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations, crc_table
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM harmed WHERE kind <> 0
+),
+placed AS (
+  SELECT *, trim(text, {_BLANKS}) AS bare, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS i FROM damaged
+),
+flagged AS (
+  SELECT *, bare = '' AS blank,
+    bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+    substr(role, 1, 1) AS initial,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM placed
+),
+judged AS (
+  SELECT *, blank OR dup AS must, NOT blank AND NOT dup AND right(bare, 1) NOT IN ('.', '!', '?') AS cut
+  FROM flagged
+),
+-- cheapest edits by last role: none yet, system, user, assistant
+states(conv_id, i, k0, ks, ku, ka) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '000000000', NULL::VARCHAR, '000000003I', '000000006II' FROM conversations
+  UNION ALL
+  SELECT conv_id, i, k0, ks, u, {_least("a", _edit("u", "3", "I"))} FROM (
+    SELECT conv_id, i, k0, ks, a, {_least("u", _edit("k0", "3", "I"), _edit("ks", "3", "I"), _edit("a", "3", "I"))} AS u FROM (
+      SELECT s.conv_id, r.i, {_edit("k0", "4", "D")} AS k0, {_after_row("ks", ["k0"], "s")} AS ks,
+        {_after_row("ku", ["k0", "ks", "ka"], "u")} AS u, {_after_row("ka", ["ku"], "a")} AS a
+      FROM states s JOIN judged r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = s.i + 1
+    )
+  )
+),
+solved AS (
+  SELECT conv_id, i AS n, least(k0, ka) AS k FROM states
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+),
+letters AS (
+  SELECT conv_id, unnest(string_split(substr(k, 10), '')) AS letter,
+    unnest(range(length(k) - 9)) AS pos FROM solved WHERE length(k) > 9
+),
+numbered AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS kept
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+),
+stayed AS (
+  SELECT l.conv_id, l.pos, l.letter, l.kept, r.role, CASE WHEN l.letter = 'I' THEN '' ELSE r.text END AS text,
+    bool_or(l.letter = 'K' AND l.kept = 1 AND r.initial = 's') OVER (PARTITION BY l.conv_id) AS begun
+  FROM numbered l LEFT JOIN judged r ON l.conv_id IS NOT DISTINCT FROM r.conv_id AND l.i = r.i AND l.letter <> 'I'
+  WHERE l.letter <> 'D'
+),
+repaired AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role
+      WHEN (kept - begun::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos)) AS h
+  FROM stayed GROUP BY conv_id
+),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+    count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+)
+SELECT s.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, substr(k, 1, 9)::BIGINT AS cost,
+  substr(k, 10) AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM solved s LEFT JOIN counted c ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN repaired r ON s.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
 ORACLES = {
+    "op13_turn_repair": _TURN_REPAIR,
     "op1_line_dedup": f"""
 WITH {_LINES},
 marked AS (

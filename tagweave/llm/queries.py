@@ -11,11 +11,13 @@ from tagweave.llm.embeddings import near_vectors
 from tagweave.llm.language_model import score_texts
 from tagweave.llm.line_dedup import dedup_lines
 from tagweave.llm.mixing import mix_single
+from tagweave.llm.multiset_hash import edited_texts
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.pii import find_personal_data
 from tagweave.llm.quality import quality_rules
 from tagweave.llm.secrets import find_secrets
 from tagweave.llm.simhash import hex_fingerprint, near_duplicates
+from tagweave.llm.turn_repair import damage, repair
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,14 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_texts(table(spark, sf_dir, "documents"))
+
+
+def turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_line_dedup": line_dedup,
     "op2_embeddings": embeddings,
@@ -75,4 +85,6 @@ QUERIES = {
     "op8_quality": quality,
     "op9_mixing": mixing,
     "op10_packing": packing,
+    "op11_fingerprints": fingerprints,
+    "op13_turn_repair": turn_repair,
 }
