@@ -135,7 +135,51 @@ FROM solved s LEFT JOIN counted c ON s.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN repaired r ON s.conv_id IS NOT DISTINCT FROM r.conv_id
 """
 
+_PREFIX_TRIE = f"""
+WITH {_CRC_TABLE},
+turns AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    strlen(coalesce(text, '')) AS size, turn FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS i FROM turns),
+convs AS (
+  SELECT conv_id, {_crc32("conv_id::VARCHAR")} % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, p.i, p.digest, p.size FROM convs c
+  JOIN placed p ON p.conv_id = c.conv_id - c.conv_id % 5 AND p.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, p.i, p.digest, p.size FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.i > c.h
+),
+steps AS (
+  SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(digest, ',') OVER w) AS k, size
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)
+  UNION ALL
+  SELECT conv_id, 0, '', 0 FROM convs
+),
+linked AS (
+  SELECT *, lag(k) OVER w AS parent, lead(k) OVER w IS NULL AS last FROM steps
+  WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+),
+nodes AS (
+  SELECT k, depth, any_value(parent) AS parent, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM linked GROUP BY k, depth
+),
+children AS (SELECT parent AS k, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT DISTINCT a.k AS top, b.k FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+held AS (
+  SELECT b.top AS k, sum((n.n_convs - 1) * n.size)::BIGINT AS saved_tokens, count(*) FILTER (c.k IS NULL) AS n_leaves
+  FROM below b JOIN nodes n ON b.k = n.k LEFT JOIN children c ON b.k = c.k GROUP BY b.top
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+  h.n_leaves, h.saved_tokens, n.ends_sha256
+FROM nodes n JOIN held h ON n.k = h.k LEFT JOIN children c ON n.k = c.k LEFT JOIN nodes p ON n.parent = p.k
+"""
+
 ORACLES = {
+    "op12_prefix_trie": _PREFIX_TRIE,
     "op13_turn_repair": _TURN_REPAIR,
     "op1_line_dedup": f"""
 WITH {_LINES},

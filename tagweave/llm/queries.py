@@ -14,6 +14,7 @@ from tagweave.llm.mixing import mix_single
 from tagweave.llm.multiset_hash import edited_texts
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.pii import find_personal_data
+from tagweave.llm.prefix_trie import trie_nodes
 from tagweave.llm.quality import quality_rules
 from tagweave.llm.secrets import find_secrets
 from tagweave.llm.simhash import hex_fingerprint, near_duplicates
@@ -70,6 +71,10 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_texts(table(spark, sf_dir, "documents"))
 
 
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_nodes(table(spark, sf_dir, "conversations"))
+
+
 def turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
 
@@ -86,5 +91,6 @@ QUERIES = {
     "op9_mixing": mixing,
     "op10_packing": packing,
     "op11_fingerprints": fingerprints,
+    "op12_prefix_trie": prefix_trie,
     "op13_turn_repair": turn_repair,
 }
