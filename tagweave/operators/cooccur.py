@@ -2,8 +2,8 @@
 
 A key that ``d`` items carry would give ``d * (d - 1) / 2`` pairs, and one hot
 key would swamp the job. But a graph only keeps pairs that share at least
-``min_shared >= 2`` keys, which allows two exact ways around it. Group sizes,
-counted first, tell which one is cheaper.
+``min_shared >= 2`` keys, which allows two exact ways around it. The group sizes of
+the encoded table (``incidence``) tell which one is cheaper.
 
 *By combination*: items with few keys are grouped by each combination of
 ``min_shared`` of their keys. Every pair found is a result, however hot a key.
@@ -12,6 +12,8 @@ counted first, tell which one is cheaper.
 rows, so joining on them makes at most ``hot_at / 2`` pairs per row. Hot keys
 never act as a join key alone, but only in combinations of ``min_shared``. Both
 kinds of pairs then have their hot keys counted by equi-joins.
+
+Whatever the way, groups are paired in blocks, so a hot group is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -21,11 +23,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.operators.incidence import (
+    Incidence,
+    blocked_pairs,
+    common_keys,
+    encode,
+    pairs_by_combination,
+)
 from tagweave.operators.lineage import settle
 
 HOT_AT = 1000
-# a longer list of hot keys is joined by shuffle instead of broadcast
-BROADCAST_KEYS = 100_000
 # a row of a combination is wider than a plain pair
 COMBINATION_COST = 2
 
@@ -43,132 +50,61 @@ def drop_stop_keywords(
     return df.where(~F.coalesce(F.col(col).isin(*stop), F.lit(False)))
 
 
-def _group_sizes(rows: DataFrame, by: str, choose: int):
-    """Row count, largest group and summed ``C(size, choose)``, as one row.
-
-    Counting rows rather than distinct ones gives bounds, which is all the
-    choice of a route needs.
-    """
-    n = F.col("n")
+def _ways(n: str, choose: int):
+    """C(n, choose) as a double."""
     ways = F.lit(1.0)
     for i in range(choose):
-        ways = ways * F.greatest(n - i, F.lit(0.0)) / (i + 1)
-    sizes = rows.groupBy(by).agg(F.count("*").cast("double").alias("n"))
+        ways = ways * F.greatest(F.col(n).cast("double") - i, F.lit(0.0)) / (i + 1)
+    return ways
+
+
+def _route(table: Incidence, min_shared: int, hot_at: int) -> str:
+    """The cheaper way to the pairs, by the sizes of the groups."""
     zero = F.lit(0.0)
-    return sizes.agg(
-        F.coalesce(F.sum(n), zero).alias("rows"),
-        F.coalesce(F.max(n), zero).alias("largest"),
-        F.coalesce(F.sum(ways), zero).alias("ways"),
+    by_key = table.keys.agg(
+        F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.coalesce(F.sum(_ways("n", 2)), zero).alias("ways")
     ).first()
+    # an item has as many rows as keys, so each row stands for its part of the combinations
+    by_item = table.rows.agg(F.coalesce(F.sum(_ways("m", min_shared) / F.col("m")), zero).alias("ways")).first()
+    if by_item["ways"] * COMBINATION_COST <= by_key["ways"]:
+        return "combination"
+    return "ordinary" if by_key["largest"] <= hot_at else "key"
 
 
-def _pairs_by_combination(rows: DataFrame, size: int) -> DataFrame:
+def _paired(rows: DataFrame, min_shared: int) -> DataFrame:
+    """Rows that can take part in a pair."""
+    return rows.where((F.col("n") > 1) & (F.col("m") >= min_shared))
+
+
+def _pairs_by_combination(rows: DataFrame, size: int, block: int) -> DataFrame:
     """``(a, b, n)`` from items grouped by every combination of their keys.
 
     A pair with ``n`` keys in common meets in ``C(n, size)`` groups. For two, ``n`` is
     solved from that; for more, the common keys of the pairs found are counted.
     """
-    # a struct keeps null keys
-    combos = rows.groupBy("item").agg(
-        F.array_sort(F.collect_set(F.struct("key"))).alias("keys")
-    )
-    combos = combos.select(
-        "item", "keys", F.lit(-1).alias("pos"), F.array().alias("combo")
-    ).where(F.size("keys") >= size)
-    for _ in range(size):
-        later = combos.select("*", F.posexplode("keys").alias("next", "key")).where(
-            F.col("next") > F.col("pos")
-        )
-        combos = later.select(
-            "item",
-            "keys",
-            F.col("next").alias("pos"),
-            F.concat("combo", F.array("key")).alias("combo"),
-        )
-    # the hash comes first in the join key, so sorting seldom compares arrays
-    groups = combos.select("item", "combo", F.xxhash64("combo").alias("h"))
-    x, y = groups.alias("x"), groups.alias("y")
-    together = (
-        (F.col("x.h") == F.col("y.h"))
-        & (F.col("x.combo") == F.col("y.combo"))
-        & (F.col("x.item") < F.col("y.item"))
-    )
-    meetings = (
-        x.join(y, together)
-        .select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("meetings"))
-    )
+    meetings = pairs_by_combination(rows, size, block)
     if size == 2:
         # the rounded root is right up to n around 10^8, far beyond what an item can combine
         n = F.round((1 + F.sqrt(1 + 8 * F.col("meetings").cast("double"))) / 2).cast("long")
         return meetings.select("a", "b", n.alias("n"))
-    found, rows = settle(meetings.select("a", "b")), rows.distinct()
-    same_key = F.col("x.key").eqNullSafe(F.col("y.key"))
-    return (
-        found.join(rows.alias("x"), F.col("a") == F.col("x.item"))
-        .join(rows.alias("y"), (F.col("b") == F.col("y.item")) & same_key)
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n"))
-    )
+    found = settle(meetings.select("a", "b"))
+    return common_keys(found, rows).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def _hot_keys(rows: DataFrame, hot_at: int) -> DataFrame:
-    """Keys with more than ``hot_at`` rows, numbered; usually few or none.
-
-    Counting rows, not distinct items, is enough: it only decides the route a
-    key takes.
-    """
-    hot = rows.groupBy("key").count().where(F.col("count") > hot_at)
-    return settle(hot.select("key", F.monotonically_increasing_id().alias("hot")))
-
-
-def _item_pairs(rows: DataFrame, on: str) -> DataFrame:
-    """Pairs of items ``a < b`` that agree on column ``on``."""
-    left = rows.select(F.col("item").alias("a"), F.col(on).alias("k1"))
-    right = rows.select(F.col("item").alias("b"), F.col(on).alias("k2"))
-    agree = F.col("k1").eqNullSafe(F.col("k2")) & (F.col("a") < F.col("b"))
-    return left.join(right, agree).select("a", "b")
-
-
-def _hot_combinations(heavy: DataFrame, size: int) -> DataFrame:
-    """Each item with all its ascending combinations of ``size`` hot keys."""
-    combos = heavy.select("item", "hot", F.array("hot").alias("combo"))
-    step = heavy.select(F.col("item").alias("item2"), F.col("hot").alias("next"))
-    for _ in range(size - 1):
-        combos = combos.join(
-            step, (F.col("item") == F.col("item2")) & (F.col("hot") < F.col("next"))
-        ).select(
-            "item",
-            F.col("next").alias("hot"),
-            F.concat("combo", F.array("next")).alias("combo"),
-        )
-    return combos.select("item", "combo")
-
-
-def _pairs_by_ordinary_key(rows: DataFrame) -> DataFrame:
-    counted = _item_pairs(rows.distinct(), "key").groupBy("a", "b")
+def _pairs_by_ordinary_key(rows: DataFrame, block: int) -> DataFrame:
+    counted = blocked_pairs(rows, ["key"], "item", "n", block).groupBy("a", "b")
     return counted.agg(F.count("*").alias("n"))
 
 
 def _pairs_by_key(rows: DataFrame, min_shared: int, hot_at: int) -> DataFrame:
     """``(a, b, n)`` from joins on ordinary keys and on hot combinations."""
-    hot = _hot_keys(rows, hot_at)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return _pairs_by_ordinary_key(rows)
-
-    rows = rows.distinct()
-    if n_hot <= BROADCAST_KEYS:
-        hot = F.broadcast(hot)
-    same_key = rows["key"].eqNullSafe(hot["key"])
-    light = rows.join(hot, same_key, "left_anti")
-    heavy = settle(rows.join(hot, same_key).select("item", "hot"))
+    light = rows.where(F.col("n") <= hot_at)
+    heavy = rows.where(F.col("n") > hot_at)
     n_heavy = heavy.groupBy("item").agg(F.count("*").alias("n_heavy"))
+    heavy = settle(heavy.join(n_heavy, "item").select("item", "key", F.col("n_heavy").alias("m")))
+    n_heavy = heavy.select("item", F.col("m").alias("n_heavy")).distinct()
 
-    by_light = (
-        _item_pairs(light, "key").groupBy("a", "b").agg(F.count("*").alias("n_light"))
-    )
+    by_light = _pairs_by_ordinary_key(light, hot_at).withColumnRenamed("n", "n_light")
     # a pair short of ordinary keys can only make it up with hot ones
     reachable = F.col("n_light") + F.least(
         F.coalesce("h1.n_heavy", F.lit(0)), F.coalesce("h2.n_heavy", F.lit(0))
@@ -179,42 +115,53 @@ def _pairs_by_key(rows: DataFrame, min_shared: int, hot_at: int) -> DataFrame:
         .where(reachable >= min_shared)
         .select("a", "b", "n_light")
     )
-    by_heavy = _item_pairs(
-        _hot_combinations(heavy, min_shared), "combo"
-    ).distinct()
+    by_heavy = pairs_by_combination(heavy, min_shared, hot_at).select("a", "b")
     candidates = settle(
         by_light.unionByName(by_heavy.withColumn("n_light", F.lit(0).cast("long")))
         .groupBy("a", "b")
         .agg(F.sum("n_light").alias("n_light"))
     )
-    common_hot = (
-        candidates.select("a", "b")
-        .join(heavy.alias("x"), F.col("a") == F.col("x.item"))
-        .join(
-            heavy.alias("y"),
-            (F.col("b") == F.col("y.item")) & (F.col("x.hot") == F.col("y.hot")),
-        )
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n_hot"))
-    )
+    common = common_keys(candidates.select("a", "b"), heavy).groupBy("a", "b")
+    common_hot = common.agg(F.count("*").alias("n_hot"))
     return candidates.join(common_hot, ["a", "b"], "left").select(
         "a", "b", (F.col("n_light") + F.coalesce("n_hot", F.lit(0))).alias("n")
     )
 
 
-def _route(rows: DataFrame, min_shared: int, hot_at: int) -> str:
-    """The cheaper way to the pairs, by the sizes of the groups."""
-    by_key = _group_sizes(rows, "key", 2)
-    by_item = _group_sizes(rows, "item", min_shared)
-    if by_item["ways"] * COMBINATION_COST <= by_key["ways"]:
-        return "combination"
-    return "ordinary" if by_key["largest"] <= hot_at else "key"
+def _encoded(df: DataFrame | Incidence, item: str, key: str) -> Incidence:
+    return df if isinstance(df, Incidence) else encode(df, item, key)
+
+
+def _strong(table: Incidence, min_shared: int, hot_at: int, route: str | None) -> DataFrame:
+    """``(a, b, n)`` with encoded items."""
+    if min_shared < 2:
+        raise ValueError("min_shared must be at least 2; see pair_weights")
+    route = route or _route(table, min_shared, hot_at)
+    rows = _paired(table.rows, min_shared)
+    if route == "combination":
+        pairs = _pairs_by_combination(rows, min_shared, hot_at)
+    elif route == "ordinary":
+        pairs = _pairs_by_ordinary_key(rows, hot_at)
+    else:
+        pairs = _pairs_by_key(rows, min_shared, hot_at)
+    return pairs.where(F.col("n") >= min_shared)
+
+
+def _spelled(pairs: DataFrame, table: Incidence) -> DataFrame:
+    """``pairs`` with items instead of their ids, the smaller one first."""
+    if table.items is None:
+        return pairs
+    for end in ("a", "b"):
+        names = table.items.select(F.col("item").alias(end), F.col("value").alias(f"_{end}"))
+        pairs = pairs.join(names, end).drop(end)
+    both = pairs.withColumns({"a": F.least("_a", "_b"), "b": F.greatest("_a", "_b")})
+    return both.select("a", "b", *(c for c in pairs.columns if c not in ("_a", "_b")))
 
 
 def shared_pairs(
-    df: DataFrame,
-    item: str,
-    key: str,
+    df: DataFrame | Incidence,
+    item: str = "item",
+    key: str = "key",
     min_shared: int = 2,
     hot_at: int = HOT_AT,
     names: tuple[str, str, str] = ("item_1", "item_2", "shared"),
@@ -225,45 +172,32 @@ def shared_pairs(
     Each unordered pair comes once, smaller item first. Null items never pair;
     a null key counts as one key. A threshold of one would ask for every pair
     in every group; :func:`pair_weights` counts those without listing them.
-    ``route`` ("combination" or "key") overrides the choice by group sizes.
+    ``df`` may be a table that :func:`incidence.encode` made, to be used again.
+    ``route`` ("combination", "ordinary" or "key") overrides the choice by group sizes.
     """
     if min_shared < 2:
         raise ValueError("min_shared must be at least 2; see pair_weights")
-    rows = df.select(F.col(item).alias("item"), F.col(key).alias("key")).where(
-        F.col("item").isNotNull()
-    )
-    route = route or _route(rows, min_shared, hot_at)
-    if route == "combination":
-        pairs = _pairs_by_combination(rows, min_shared)
-    elif route == "ordinary":
-        pairs = _pairs_by_ordinary_key(rows)
-    else:
-        pairs = _pairs_by_key(rows, min_shared, hot_at)
-    return pairs.where(F.col("n") >= min_shared).toDF(*names)
+    table = _encoded(df, item, key)
+    pairs = _strong(table, min_shared, hot_at, route)
+    if table.items is not None:
+        pairs = settle(pairs)
+    return _spelled(pairs, table).toDF(*names)
 
 
 def cooccurrence_pairs(
-    df: DataFrame,
-    item: str,
-    key: str,
+    df: DataFrame | Incidence,
+    item: str = "item",
+    key: str = "key",
     min_shared: int = 2,
     hot_at: int = HOT_AT,
     names: tuple[str, str, str] = ("item_1", "item_2", "key"),
 ) -> DataFrame:
     """The keys behind each pair of :func:`shared_pairs`, one row per key."""
-    pairs = settle(shared_pairs(df, item, key, min_shared, hot_at, ("a", "b", "n")))
-    rows = (
-        df.select(F.col(item).alias("item"), F.col(key).alias("key"))
-        .where(F.col("item").isNotNull())
-        .distinct()
-    )
-    same_key = F.col("x.key").eqNullSafe(F.col("y.key"))
-    return (
-        pairs.join(rows.alias("x"), F.col("a") == F.col("x.item"))
-        .join(rows.alias("y"), (F.col("b") == F.col("y.item")) & same_key)
-        .select("a", "b", "x.key")
-        .toDF(*names)
-    )
+    table = _encoded(df, item, key)
+    pairs = settle(_strong(table, min_shared, hot_at, None).select("a", "b"))
+    shared = common_keys(pairs, _paired(table.rows, min_shared))
+    named = shared.join(table.keys.select("key", "value"), "key").select("a", "b", "value")
+    return _spelled(named, table).toDF(*names)
 
 
 def shared_keyword_counts(
@@ -276,27 +210,20 @@ def shared_keyword_counts(
 
 
 def pair_weights(
-    df: DataFrame, item: str, key: str, hot_at: int = HOT_AT
+    df: DataFrame | Incidence, item: str = "item", key: str = "key", hot_at: int = HOT_AT
 ) -> DataFrame:
     """How many pairs share exactly 1, 2, 3, … keys, as ``(weight, n_pairs)``.
 
     Pairs with one key in common are not enumerated: the group sizes give the
     total over all pairs of their weights, and the heavier pairs are known.
     """
-    strong = (
-        shared_pairs(df, item, key, 2, hot_at, ("a", "b", "weight"))
-        .groupBy("weight")
-        .agg(F.count("*").alias("n"))
+    table = _encoded(df, item, key)
+    strong = settle(
+        _strong(table, 2, hot_at, None).groupBy(F.col("n").alias("weight")).agg(F.count("*").alias("n"))
     )
-    d = F.col("d").cast("decimal(38,0)")
-    total = (
-        df.select(F.col(item).alias("item"), F.col(key).alias("key"))
-        .where(F.col("item").isNotNull())
-        .distinct()
-        .groupBy("key")
-        .agg(F.count("*").alias("d"))
-        .agg(F.sum((d * (d - 1)).cast("decimal(38,0)")).alias("n"))
-        .select(F.lit(1).cast("long").alias("weight"), F.expr("n div 2").alias("n"))
+    d = F.col("n").cast("decimal(38,0)")
+    total = table.keys.agg(F.sum((d * (d - 1)).cast("decimal(38,0)")).alias("n")).select(
+        F.lit(1).cast("long").alias("weight"), F.expr("n div 2").alias("n")
     )
     taken = strong.select(
         F.lit(1).cast("long").alias("weight"), (-F.col("weight") * F.col("n")).alias("n")

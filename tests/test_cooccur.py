@@ -3,8 +3,10 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagweave.operators import cooccur
+from tagweave.operators.incidence import blocked_pairs, combinations as key_combinations, encode
 
 
 def brute_force(rows, min_shared):
@@ -84,10 +86,10 @@ def test_pair_weights_include_single_keys(spark, skewed):
 def test_route_follows_group_sizes(spark):
     hot = [(i, k) for i in range(400) for k in ("a", f"k{i}")]
     rows = spark.createDataFrame(hot, "item long, key string")
-    assert cooccur._route(rows, 2, 1000) == "combination"
+    assert cooccur._route(encode(rows, "item", "key"), 2, 1000) == "combination"
     few = spark.createDataFrame([(i // 3, f"k{i % 50}") for i in range(100)], "item long, key string")
-    assert cooccur._route(few, 2, 1000) == "ordinary"
-    assert cooccur._route(few, 2, 1) == "key"
+    assert cooccur._route(encode(few, "item", "key"), 2, 1000) == "ordinary"
+    assert cooccur._route(encode(few, "item", "key"), 2, 1) == "key"
 
 
 def test_two_papers_sharing_only_a_missing_label(spark):
@@ -139,3 +141,58 @@ def test_reversed_duplicates_keep_the_first(spark):
 def test_keyword_counts_are_case_sensitive(spark):
     df = spark.createDataFrame([("Bridges",), ("bridges",), ("bridges",), (None,)], "label string")
     assert {tuple(r) for r in cooccur.keyword_counts(df).collect()} == {("Bridges", 1), ("bridges", 2)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 10, 1000])
+def test_blocked_pairs(spark, block):
+    rng = random.Random(block)
+    groups = {g: rng.sample(range(-50, 50), rng.randrange(1, 30)) for g in range(12)}
+    rows = [(g, m, len(ms)) for g, ms in groups.items() for m in ms]
+    df = spark.createDataFrame(rows, "g int, m long, n long")
+    got = Counter(map(tuple, blocked_pairs(df, ["g"], "m", "n", block).collect()))
+    assert got == Counter((g, a, b) for g, ms in groups.items() for a, b in combinations(sorted(ms), 2))
+
+
+def test_no_task_holds_a_hot_group(spark):
+    """2,000 rows of one key in blocks of 100 meet under 210 join keys of at most 10,000 pairs."""
+    rows = spark.range(2000).selectExpr("1 AS g", "id AS m", "2000L AS n")
+    joined = blocked_pairs(rows, ["g"], "m", "n", 100)
+    assert joined.count() == 2000 * 1999 // 2
+    plan = joined._jdf.queryExecution().analyzed().toString()
+    assert "_i" in plan and "_j" in plan
+    block = "pmod(xxhash64(m), 20)"
+    sizes = [r.n for r in rows.groupBy(F.expr(block)).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 20 and max(sizes) < 150
+
+
+def test_combinations_of_keys(spark):
+    keys = {1: [1, 4, 6, 9], 2: [1, 2], 3: [5], 4: [1, 2, 3]}
+    rows = spark.createDataFrame([(i, k, len(ks)) for i, ks in keys.items() for k in ks], "item int, key long, m long")
+    got = {(r.item, *r.combo) for r in key_combinations(rows, 3, 2).collect()}
+    assert got == {(i, *c) for i, ks in keys.items() for c in combinations(ks, 3)}
+
+
+@pytest.mark.parametrize("route", ["combination", "key", "ordinary"])
+def test_text_items_are_encoded(spark, skewed, route):
+    rows = [(None if i is None else f"i{i}", k) for i, k in skewed]
+    df = spark.createDataFrame(rows, "item string, key string")
+    found = cooccur.shared_pairs(df, "item", "key", 2, hot_at=12, route=route)
+    assert as_dict(found) == brute_force(rows, 2)
+
+
+def test_encoded_once_used_often(spark, skewed):
+    table = encode(spark.createDataFrame(skewed, "item long, key string"), "item", "key")
+    distinct = {(i, k) for i, k in skewed if i is not None}
+    spelled = table.rows.join(table.keys.select("key", "value"), "key")
+    assert {(r["item"], r["value"]) for r in spelled.collect()} == distinct
+    per_key, per_item = Counter(k for _, k in distinct), Counter(i for i, _ in distinct)
+    assert all(r["n"] == per_key[r["value"]] and r["m"] == per_item[r["item"]] for r in spelled.collect())
+    assert as_dict(cooccur.shared_pairs(table, min_shared=3, hot_at=12)) == brute_force(skewed, 3)
+    weights = {r["weight"]: r["n_pairs"] for r in cooccur.pair_weights(table, hot_at=12).collect()}
+    assert weights == Counter(brute_force(skewed, 1).values())
+
+
+def test_input_is_read_once(spark, skewed, tmp_path):
+    spark.createDataFrame(skewed, "item long, key string").write.parquet(f"{tmp_path}/in")
+    found = cooccur.shared_pairs(spark.read.parquet(f"{tmp_path}/in"), "item", "key")
+    assert f"{tmp_path}/in" not in found._jdf.queryExecution().executedPlan().toString()
