@@ -91,13 +91,31 @@ def blocked_pairs(
     )
 
 
+def bounded_pairs(
+    groups: DataFrame, by: Sequence[str], member: str, size: str, block: int = BLOCK
+) -> DataFrame:
+    """``blocked_pairs`` in one shuffle where nearly all groups are small.
+
+    Groups of up to ``block`` rows are gathered in a row each, larger ones are paired in blocks.
+    """
+    small = (
+        groups.where(F.col(size) <= block)
+        .groupBy(*by)
+        .agg(F.sort_array(F.collect_list(member)).alias("_all"))
+        .select(*by, "_all", F.posexplode("_all").alias("_at", "a"))
+        .select(*by, "a", F.explode(F.slice("_all", F.col("_at") + 2, F.size("_all"))).alias("b"))
+    )
+    large = groups.where(F.col(size) > block)
+    return small.unionByName(blocked_pairs(large, by, member, size, block))
+
+
 def combinations(rows: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
     """``(item, combo, last)``: the ascending combinations of ``size`` keys of each item.
 
-    ``rows`` is ``(item, key, m)``. Pairs of keys come from ``blocked_pairs``; each further key is
+    ``rows`` is ``(item, key, m)``. Pairs of keys come from ``bounded_pairs``; each further key is
     joined on the item.
     """
-    found = blocked_pairs(rows, ["item"], "key", "m", block).select(
+    found = bounded_pairs(rows, ["item"], "key", "m", block).select(
         "item", F.array("a", "b").alias("combo"), F.col("b").alias("last")
     )
     for _ in range(size - 2):
@@ -111,23 +129,34 @@ def combinations(rows: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
 def pairs_by_combination(rows: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
     """``(a, b, meetings)``: in how many groups of ``size`` common keys two items meet.
 
-    Most combinations have one item or two. Their count and ends are combined before the
+    Most combinations have up to three items. Their count, ends and checksum are combined before the
     shuffle and already are the answer; only members of larger groups are listed and paired in blocks.
     """
     if size == 2:
         by = ["k1", "k2"]
-        combos = blocked_pairs(rows, ["item"], "key", "m", block).toDF("item", *by)
+        combos = bounded_pairs(rows, ["item"], "key", "m", block).toDF("item", *by)
     else:
         by = ["combo"]
         combos = combinations(rows, size, block).select("item", "combo")
     sizes = combos.groupBy(*by).agg(
-        F.count("*").alias("d"), F.min("item").alias("a"), F.max("item").alias("b")
+        F.count("*").alias("d"),
+        F.min("item").alias("a"),
+        F.max("item").alias("b"),
+        F.bit_xor("item").alias("x"),
     )
     sizes = settle(sizes.where(F.col("d") > 1))
-    two = sizes.where(F.col("d") == 2).select("a", "b")
-    more = sizes.where(F.col("d") > 2).select(*by, "d")
-    many = blocked_pairs(combos.join(more, by), by, "item", "d", block).select("a", "b")
-    return two.unionByName(many).groupBy("a", "b").agg(F.count("*").alias("meetings"))
+    # of three the one in the middle is what the ends leave of the checksum
+    between = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b"))
+    ends = F.struct("a", "b")
+    pairs = F.when(F.col("d") == 2, F.array(ends)).otherwise(
+        F.array(ends, F.struct(F.col("a"), between.alias("b")), F.struct(between.alias("a"), F.col("b")))
+    )
+    met = sizes.where(F.col("d") <= 3).select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    more = sizes.where(F.col("d") > 3).select(*by, "d")
+    if not more.isEmpty():
+        members = settle(combos.join(more, by))
+        met = met.unionByName(blocked_pairs(members, by, "item", "d", block).select("a", "b"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("meetings"))
 
 
 def common_keys(pairs: DataFrame, rows: DataFrame) -> DataFrame:

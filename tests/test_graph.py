@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.operators import communities, flow, graph, ranking
+from tagweave.operators import blocks, communities, flow, graph, ranking
 from tagweave.operators.betweenness import betweenness
 from tagweave.operators.components import connected_components
 
@@ -94,14 +94,9 @@ def assignment(df):
     return {r["node"]: r["community"] for r in df.collect()}
 
 
-@pytest.mark.parametrize(
-    "edges, expected",
-    [
-        ([(1, 2), (2, 3), (3, 4), (1, 4)], {1: 0.5, 2: 0.5, 3: 0.5, 4: 0.5}),
-        ([(1, 2), (2, 3)], {1: 0.0, 2: 1.0, 3: 0.0}),
-    ],
-)
-def test_betweenness_small(spark, edges, expected):
+def test_betweenness_small(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (1, 4), (11, 12), (12, 13)]
+    expected = {1: 0.5, 2: 0.5, 3: 0.5, 4: 0.5, 11: 0.0, 12: 1.0, 13: 0.0}
     out = {r["node"]: r["betweenness"] for r in betweenness(edge_df(spark, edges)).collect()}
     assert out == pytest.approx(expected)
 
@@ -114,6 +109,73 @@ def test_betweenness_matches_brandes_in_batches(spark):
     assert out == pytest.approx(expected)
 
 
+def shapes():
+    """Trees, rings that share a node, bridges between rings, cliques, and a deep path."""
+    ring = lambda n, at: [(at + i, at + (i + 1) % n) for i in range(n)]
+    parts = {
+        "tree": [(i, (i - 1) // 2) for i in range(1, 30)] + [(0, 100), (100, 101)],
+        "rings": ring(5, 0) + [(0, 10), (10, 11), (11, 0)] + [(2, 20), *ring(4, 20)] + [(20, 30), (30, 31)],
+        "clique": [(i, j) for i in range(6) for j in range(i)] + [(5, 6), (6, 7), (7, 5), (7, 8), (8, 8)],
+        "path": [(i, i + 1) for i in range(25)],
+        "random": random_graph(11, 45, 0.05),
+        "dense": random_graph(12, 25, 0.2) + [(200, 201), (201, 202)],
+    }
+    return [(1000 * i + a, 1000 * i + b) for i, part in enumerate(parts.values()) for a, b in part]
+
+
+def test_blocks_and_betweenness_of_shapes(spark):
+    edges = shapes()
+    df = edge_df(spark, edges)
+    found = blocks.biconnected_blocks(df)
+    adjacent = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            adjacent[a].add(b)
+            adjacent[b].add(a)
+
+    def pieces(nodes):
+        left, out = set(nodes), []
+        while left:
+            todo, got = [left.pop()], set()
+            while todo:
+                v = todo.pop()
+                got.add(v)
+                new = adjacent[v] & left
+                left -= new
+                todo += new
+            out.append(got)
+        return out
+
+    want = {}
+    for whole in pieces(list(adjacent)):
+        for v in whole:
+            rest = pieces(whole - {v})
+            if len(rest) > 1:
+                want[v] = len(rest)
+    assert {r["node"]: r["parts"] for r in blocks.cut_nodes(found).collect()} == want
+    members = defaultdict(dict)
+    for r in found.members.collect():
+        members[r["block"]][r["node"]] = r["weight"]
+    inside = defaultdict(set)
+    for r in found.edges.collect():
+        inside[r["block"]].add((min(r["v"], r["w"]), max(r["v"], r["w"])))
+    assert sorted(e for es in inside.values() for e in es) == sorted({(min(a, b), max(a, b)) for a, b in edges if a != b})
+    for b, nodes in members.items():
+        assert {v for e in inside[b] for v in e} == set(nodes)
+        for v, weight in nodes.items():
+            # all that is still tied to v when the block's own edges go
+            seen, todo = {v}, [v]
+            while todo:
+                x = todo.pop()
+                for y in adjacent[x] - seen:
+                    if (min(x, y), max(x, y)) not in inside[b]:
+                        seen.add(y)
+                        todo.append(y)
+            assert len(seen) == weight
+    out = {r["node"]: r["betweenness"] for r in betweenness(df, hub=3, pairs_per_batch=1500).collect()}
+    assert out == pytest.approx(brandes(edges))
+
+
 @pytest.mark.parametrize("leaves", [31, 32, 33, 60])
 def test_hubs_of_any_size_keep_their_leaves(spark, leaves):
     edges = [(0, i) for i in range(1, leaves + 1)] + [(500, 501), (501, 502), (502, 500), (1, 500)]
