@@ -94,9 +94,64 @@ def top_by_group(
     )
 
 
+def running_total(df: DataFrame, order: Sequence[Column | str], weight: str, out: str) -> DataFrame:
+    """The sum of ``weight`` up to and with each row, in an order without ties.
+
+    Like ``dense_id``: each task sums over its range, and the sums of earlier ranges are added,
+    one row per partition.
+    """
+    placed = settle(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_part", F.spark_partition_id())
+    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    skipped = (
+        placed.groupBy("_part")
+        .agg(F.sum(weight).alias("_sum"))
+        .select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_skip"))
+    )
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        placed.withColumn(out, F.sum(weight).over(upto))
+        .join(F.broadcast(skipped), "_part")
+        .withColumn(out, F.col(out) + F.col("_skip"))
+        .drop("_part", "_skip")
+    )
+
+
+def medians(df: DataFrame, label: str, by: str, out: str = "median") -> DataFrame:
+    """Exact median of ``by`` per label; nulls do not count, a label without values has null.
+
+    Equal values are counted before the shuffle and the counts are summed up over all labels in one
+    order, so a label's values may lie in many partitions. Of each label the values that cover the middle
+    ranks are picked; with an even number the two in the middle are averaged.
+    """
+    counted = df.groupBy(F.col(label).alias("_label"), F.col(by).cast("double").alias("_value")).agg(
+        F.count("*").alias("_n")
+    )
+    # null and nan labels and values sort in one place each, so the order has no ties
+    ranked = settle(running_total(counted.where(F.col("_value").isNotNull()), ["_label", "_value"], "_n", "_upto"))
+    spans = ranked.groupBy("_label").agg(
+        F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.max("_upto").alias("_end")
+    )
+    size = F.col("_end") - F.col("_start")
+    low = F.col("_start") + F.floor((size - 1) / 2)
+    high = F.col("_start") + F.floor(size / 2)
+    first = F.col("_upto") - F.col("_n")
+    middle = (
+        ranked.join(spans.withColumnRenamed("_label", "_of"), F.col("_label").eqNullSafe(F.col("_of")))
+        .where((first <= high) & (F.col("_upto") > low))
+        .groupBy("_of")
+        .agg(((F.min("_value") + F.max("_value")) / 2).alias(out))
+    )
+    labels = df.select(F.col(label)).distinct()
+    return labels.join(middle, F.col(label).eqNullSafe(F.col("_of")), "left").select(label, out)
+
+
 def order_levels(df: DataFrame, label: str, by: str, out: str = "level") -> DataFrame:
     """Each distinct label with its rank by the median of ``by``, nulls last."""
-    levels = df.groupBy(label).agg(F.median(by).alias("_by"))
+    levels = medians(df, label, by, "_by")
     ordered = dense_id(
         levels.withColumn("_no_by", F.col("_by").isNull()),
         ["_no_by", "_by", label],

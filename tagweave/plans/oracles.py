@@ -282,6 +282,56 @@ ys AS (
   SELECT id_from, row_number() OVER (ORDER BY m NULLS LAST, id_from) AS y0
   FROM (SELECT id_from, median(number_from) AS m FROM cells GROUP BY id_from))"""
 
+RAW = """raw AS (
+  SELECT l_orderkey, CASE WHEN p_partkey % 10 = 0 THEN upper('P' || p_partkey || ' ' || p_name)
+    ELSE '(' || p_brand || ') ' || p_partkey || ' and ' || p_name || 's' END AS k
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+catalogue AS (
+  SELECT o_orderkey AS r, o_orderpriority AS theme, key_words FROM orders
+  LEFT JOIN (SELECT l_orderkey, string_agg(k, '; ' ORDER BY k) AS key_words FROM raw GROUP BY 1)
+    ON l_orderkey = o_orderkey),
+phrases AS (
+  SELECT r, theme, unnest(string_split(replace(key_words, ';', ','), ', ')) AS label FROM catalogue)"""
+
+
+def _prepared(body: str) -> str:
+    bare = r"regexp_replace(label, '\(.*\)', '', 'g')"
+    bare = _replace(bare, [("&", " "), (":", " "), ("and", "")])
+    bare = f"regexp_replace({bare}, '{SPACE}+', ' ', 'g')"
+    return _with(
+        RAW,
+        f"c1 AS (SELECT r, theme, label, {_replace(bare, text.SYNONYMS)} AS c FROM phrases)",
+        f"c2 AS (SELECT r, theme, label, {_decapitalize('c')} AS c FROM c1)",
+        f"c3 AS (SELECT r, theme, label, lower({_singular('c')}) AS c FROM c2)",
+        """lemmas AS (SELECT ' ' || p_partkey || ' ' || p_name AS surface,
+          p_name || ' numbered ' || p_partkey AS lemma FROM part WHERE p_partkey % 3 = 0)""",
+        f"""prepared AS (SELECT r, theme, label, {_replace("coalesce(lemma, c)", text.SYNONYMS_AFTER_LEMMA)} AS new_label
+          FROM c3 LEFT JOIN lemmas ON c = surface)""",
+        "words AS (SELECT DISTINCT new_label AS label FROM prepared)",
+        *_stem_ctes(),
+        """kept AS (SELECT r AS paper, p.label AS raw, p.new_label AS lemma, stemmed_version AS new_label, theme
+          FROM prepared p JOIN stems s ON s.label = p.new_label)""",
+        body,
+    )
+
+
+QUOTIENT = """elements AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS label FROM part),
+lines AS (
+  SELECT l_partkey AS a, lead(l_partkey) OVER w AS b,
+    l_quantity = lead(l_quantity) OVER w AND l_discount = lead(l_discount) OVER w AS same
+  FROM lineitem WINDOW w AS (
+    PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_discount)),
+labels AS (SELECT label, min(id) AS first FROM elements GROUP BY label),
+ties AS (
+  SELECT DISTINCT x.label AS a, y.label AS b FROM lines JOIN elements x ON a = x.id JOIN elements y ON b = y.id
+  WHERE same AND x.label <> y.label),
+both_ways AS (SELECT a, b FROM ties UNION SELECT b, a FROM ties),
+tied AS (
+  SELECT label AS s, label AS v FROM labels
+  UNION SELECT s, b FROM tied JOIN both_ways ON v = a),
+classes AS (SELECT s AS label, min(first) AS rep FROM tied JOIN labels ON v = label GROUP BY s),
+placed AS (SELECT id, e.label, rep FROM elements e JOIN classes USING (label))"""
+
 KEYWORD_PAIRS = """kwpairs AS (
   SELECT a.new_label AS keyword_1, b.new_label AS keyword_2, count(*) AS n
   FROM member a JOIN member b ON a.paper = b.paper AND a.new_label < b.new_label
@@ -517,6 +567,43 @@ ORACLES: dict[str, str] = {
           SELECT 'Source' AS e, o_custkey AS missing FROM orders
           UNION ALL SELECT 'Target', o_orderkey FROM orders)
         WHERE missing NOT IN (SELECT l_orderkey FROM lineitem)""",
+    "prepared_keywords": _prepared(
+        """SELECT paper AS report_note_number, raw AS label, lemma AS new_label, new_label AS stemmed_version,
+             string_split_regex(theme, '[ ,]')[1] AS new_theme FROM kept"""
+    ),
+    "prepared_nodes": _with(
+        RAW,
+        f"""SELECT row_number() OVER (ORDER BY nodes) - 1 AS id, nodes, n_reports, {_singular('lower(nodes)')} AS label
+            FROM (SELECT label AS nodes, count(*) AS n_reports FROM phrases GROUP BY label)""",
+    ),
+    "prepared_pairs": _prepared(
+        """SELECT paper_1, paper_2, shared_keywords FROM (
+             SELECT a.paper AS paper_1, b.paper AS paper_2, count(*) AS shared_keywords
+             FROM (SELECT DISTINCT paper, new_label FROM kept) a
+             JOIN (SELECT DISTINCT paper, new_label FROM kept) b USING (new_label)
+             WHERE a.paper < b.paper GROUP BY 1, 2) WHERE shared_keywords >= 2"""
+    ),
+    "quotient_elements": _with(
+        QUOTIENT, "SELECT rep AS id, min(label) AS label, count(*) AS n_elements FROM placed GROUP BY rep"
+    ),
+    "quotient_edges": _with(
+        QUOTIENT,
+        """SELECT x.rep AS "from", y.rep AS "to", 'Follows' AS connection_type, count(*) AS n
+           FROM lines JOIN placed x ON a = x.id JOIN placed y ON b = y.id
+           WHERE NOT same AND x.rep <> y.rep GROUP BY 1, 2""",
+    ),
+    "price_medians": """
+        SELECT l_partkey, round(median(l_extendedprice), 6) AS median FROM lineitem GROUP BY l_partkey""",
+    # without a node its neighbours reach each other or not
+    "cut_nodes": _te(
+        ADJ,
+        """gone AS (
+  SELECT DISTINCT v AS x, w AS s, w AS v FROM adj
+  UNION SELECT x, s, w FROM gone JOIN adj USING (v) WHERE w <> x)""",
+        """SELECT node, count(DISTINCT piece) AS parts FROM (
+             SELECT x AS node, s, min(v) AS piece FROM gone GROUP BY 1, 2)
+           GROUP BY node HAVING count(DISTINCT piece) > 1""",
+    ),
     "dup_labels": """
         SELECT p_name AS label, count(*) AS n FROM part
         GROUP BY p_name HAVING count(*) > 1""",

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions import text, vocabulary
-from tagweave.operators import communities, cooccur, graph, ranking
+from tagweave.operators import blocks, communities, cooccur, graph, quotient, ranking
 from tagweave.operators.betweenness import betweenness as node_betweenness
 from tagweave.operators.components import connected_components
 from tagweave.operators.flow import flow_communities
 from tagweave.operators.lineage import settle
 from tagweave.plans import networks, tables
+from tagweave.plans.preparation import prepare_report_keywords
 from tagweave.sources import writers
 
 REPORT = networks.REPORT
@@ -228,6 +229,29 @@ def keyword_graph(spark, d):
     return networks.keyword_graph(tables.line_keywords(spark, d), 2, tables.STOP).edges
 
 
+def _prepared(spark, d):
+    return prepare_report_keywords(tables.raw_catalogue(spark, d), tables.part_lemmas(spark, d))
+
+
+@query
+def prepared_keywords(spark, d):
+    """Raw keyword strings to lemmas, stems and themes."""
+    return _prepared(spark, d).stems.select(REPORT, "label", "new_label", "stemmed_version", "new_theme")
+
+
+@query
+def prepared_nodes(spark, d):
+    return _prepared(spark, d).nodes
+
+
+@query
+def prepared_pairs(spark, d):
+    """From raw strings to orders that share two prepared keywords."""
+    return cooccur.shared_pairs(
+        _prepared(spark, d).stems, REPORT, "stemmed_version", names=(*PAIR, "shared_keywords")
+    )
+
+
 # --- graphs and their tables ------------------------------------------------------
 
 
@@ -366,6 +390,21 @@ def dup_labels(spark, d):
     return graph.duplicate_labels(tables.table(spark, d, "part"), "p_name")
 
 
+def _quotient(spark, d):
+    return quotient.contract(tables.part_elements(spark, d), tables.line_connections(spark, d))
+
+
+@query
+def quotient_elements(spark, d):
+    """Parts with duplicates contracted."""
+    return _quotient(spark, d)[0]
+
+
+@query
+def quotient_edges(spark, d):
+    return _quotient(spark, d)[1]
+
+
 @query
 def transpose(spark, d):
     cells = graph.transpose(tables.table(spark, d, "embeddings"), "vec_id", "embedding")
@@ -393,6 +432,20 @@ def betweenness(spark, d):
     return scores.withColumn("betweenness", F.round("betweenness", 6))
 
 
+@query
+def cut_nodes(spark, d):
+    """Papers that hold their component together, with the number of pieces."""
+    found = blocks.biconnected_blocks(settle(_links(spark, d)), *PAIR)
+    return blocks.cut_nodes(found)
+
+
+@query
+def price_medians(spark, d):
+    """Exact median price of each part."""
+    lines = tables.table(spark, d, "lineitem").select("l_partkey", "l_extendedprice")
+    return ranking.medians(lines, "l_partkey", "l_extendedprice").withColumn("median", F.round("median", 6))
+
+
 @query
 def modularity(spark, d):
     """Of the partition into connected components."""

@@ -6,7 +6,7 @@ market segment is its theme. A document's text is a raw keyword string.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import explode_keywords
@@ -68,6 +68,64 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(report_note_number, theme, key_words)``: orders with their parts as one raw string.
+
+    Every tenth part is spelled like an acronym, the others in the plural with their brand in
+    parentheses.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    key = F.col("p_partkey").cast("string")
+    raw = F.when(
+        F.col("p_partkey") % 10 == 0, F.upper(F.concat(F.lit("P"), key, F.lit(" "), "p_name"))
+    ).otherwise(F.concat(F.lit("("), "p_brand", F.lit(") "), key, F.lit(" and "), "p_name", F.lit("s")))
+    strings = (
+        lines.join(parts.select("p_partkey", raw.alias("raw")), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("l_orderkey")
+        .agg(F.array_join(F.sort_array(F.collect_list("raw")), "; ").alias("key_words"))
+    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return orders.join(strings, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.col("o_orderkey").alias("report_note_number"), F.col("o_orderpriority").alias("theme"), "key_words"
+    )
+
+
+def part_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(surface, lemma)``: every third part's cleaned label has a lemma."""
+    key = F.col("p_partkey").cast("string")
+    return (
+        table(spark, sf_dir, "part")
+        .where(F.col("p_partkey") % 3 == 0)
+        .select(
+            F.concat(F.lit(" "), key, F.lit(" "), "p_name").alias("surface"),
+            F.concat("p_name", F.lit(" numbered "), key).alias("lemma"),
+        )
+    )
+
+
+def part_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, label)``: parts; those with one name and brand are one thing under several ids."""
+    label = F.concat_ws(" ", "p_name", "p_brand")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), label.alias("label"))
+
+
+def line_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(from, to, connection_type)`` from each line of an order to the next one.
+
+    Neighbours of equal quantity and discount are taken for the same part, others follow.
+    """
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("from"),
+        F.lead("l_partkey").over(order).alias("to"),
+        (F.col("l_quantity") == F.lead("l_quantity").over(order)).alias("_quantity"),
+        (F.col("l_discount") == F.lead("l_discount").over(order)).alias("_discount"),
+    )
+    kind = F.when(F.col("_quantity") & F.col("_discount"), "Same").otherwise("Follows")
+    return lines.where(F.col("to").isNotNull()).select("from", "to", kind.alias("connection_type"))
+
+
 def document_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, label)``: each whole document text as a raw keyword string."""
     docs = documents(spark, sf_dir)
