@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.operators.lineage import settle
+from tagweave.operators.components import connected_components
+from tagweave.operators.lineage import discard, settle
 from tagweave.operators.ranking import dense_id
 
 SLICES = 16
@@ -188,34 +189,74 @@ def resolve_merges(nodes: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     )
 
 
-def greedy_communities(
-    edges: DataFrame, src: str = "src", dst: str = "dst"
+def connected_parts(
+    edges: DataFrame, assign: DataFrame, src: str = "src", dst: str = "dst"
 ) -> DataFrame:
-    """``(node, community)``, the community being its smallest member.
+    """Communities cut into their connected pieces, each named by its smallest node.
 
-    Ids must be integers. Merges end when none would raise modularity, then
-    single nodes move.
+    Pieces without an edge between them are better apart, so this never lowers modularity.
     """
-    edges = settle(edges.select(src, dst))
-    m = edges.count()
-    links, masses = community_graph(edges, src, dst)
-    masses = settle(masses)
-    nodes = masses.select(F.col("c").alias("node"))
-    rounds = []
+    inside = (
+        edges.join(assign.toDF(src, "_cs"), src)
+        .join(assign.toDF(dst, "_cd"), dst)
+        .where((F.col("_cs") == F.col("_cd")) & (F.col(src) != F.col(dst)))
+    )
+    pieces = connected_components(inside.select(src, dst), src, dst).toDF("_node", "_piece")
+    return assign.join(pieces, F.col("node") == F.col("_node"), "left").select(
+        "node", F.coalesce("_piece", "node").alias("community")
+    )
+
+
+def merge_up(links: DataFrame, masses: DataFrame, m: int) -> DataFrame | None:
+    """``(node, community)`` of the groups of a community graph once no merge gains; None if none did."""
+    groups = masses.select(F.col("c").alias("node"))
+    rounds, old = [], []
     while True:
         prefs = settle(preferences(gains(links, masses, m)))
         if prefs.isEmpty():
+            discard(prefs)
             break
         merges = settle(merge_round(prefs, masses, m))
         rounds.append(merges)
         # pairs that gain nothing now never will, but their edges still count
         # towards later pairs, so all links are carried on
         links, masses = (settle(t) for t in contract(links, masses, merges))
-    moved = refine(edges, settle(resolve_merges(nodes, rounds)), m, src, dst)
-    smallest = moved.groupBy("community").agg(F.min("node").alias("first"))
-    return moved.join(smallest, "community").select(
-        "node", F.col("first").alias("community")
-    )
+        discard(prefs, *old)
+        old = [links, masses]
+    if not rounds:
+        return None
+    found = settle(resolve_merges(groups, rounds))
+    discard(*rounds, *old)
+    return found
+
+
+def greedy_communities(
+    edges: DataFrame, src: str = "src", dst: str = "dst"
+) -> DataFrame:
+    """``(node, community)``, the community being its smallest member.
+
+    Ids must be integers. A level merges communities until none would raise modularity, moves
+    single nodes, and cuts what the moves took apart into connected pieces; the next level starts
+    from those as its nodes. Modularity rises with each level; the last one finds nothing to
+    merge. Every community is connected. A round's tables are deleted once the next is written.
+    """
+    edges = settle(edges.select(src, dst))
+    m = edges.count()
+    links, masses = (settle(t) for t in community_graph(edges, src, dst))
+    assign = settle(masses.select(F.col("c").alias("node"), F.col("c").alias("community")))
+    level_links, level_masses = links, masses
+    while True:
+        merged = merge_up(level_links, level_masses, m)
+        if merged is None:
+            return assign
+        placed = assign.join(merged.toDF("community", "_to"), "community").select(
+            "node", F.col("_to").alias("community")
+        )
+        moved = refine(edges, settle(placed), m, src, dst)
+        before, assign = assign, settle(connected_parts(edges, moved, src, dst))
+        discard(before, merged, moved)
+        renamed = assign.where(F.col("node") != F.col("community")).toDF("c", "target")
+        level_links, level_masses = (settle(t) for t in contract(links, masses, renamed))
 
 
 def wanted_moves(
@@ -319,6 +360,7 @@ def refine(
     while True:
         moves = settle(wanted_moves(around, degrees, assign, m))
         if moves.isEmpty():
+            discard(moves, around, degrees)
             return assign
         turn += 1
         for share in (1, 2, 4, 8):
@@ -326,9 +368,11 @@ def refine(
             reached = quality(trial)
             if reached > best + ROUNDING:
                 break
+            discard(trial)
         else:
             trial = moved(independent_moves(moves, assign))
             reached = quality(trial)
+        discard(moves, assign)
         best, assign = reached, trial
 
 

@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or one below the warehouse.
+    """The folder of ``spark.checkpoint.dir``, or one below a warehouse that was set.
 
-    Both are seen by the driver and by all executors; the rule is the same for
-    every master.
+    Both are seen by the driver and by all executors. The warehouse that Spark falls back on is
+    a folder of each machine: it serves where driver and executors are one process, and
+    without either setting a cluster is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        given = spark.sparkContext.getConf().get("spark.sql.warehouse.dir")
+        if not given and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tagweave"
     return folder
 
