@@ -18,8 +18,6 @@ from tagweave.operators.lineage import discard, settle
 from tagweave.operators.ranking import dense_id
 
 SLICES = 16
-# what sums of doubles can be off by
-
 _EXACT = "decimal(38,0)"
 
 
