@@ -9,16 +9,16 @@ fingerprints. If two nodes are within m bits, no coordinate differs by more than
 m (triangle inequality), so pairs with a larger difference are discarded and survivors are
 verified by the bits themselves. Coordinates of random fingerprints lie close together, so
 a table alone would still be compared with itself; the nodes are therefore dealt out
-by band keys: the 64 bits are cut into m + 2 bands, of which any m changed bits leave
-two untouched, so linked nodes meet under at least one pair of bands.
+by band keys: the 64 bits are cut into m + e bands, of which any m changed bits leave
+e untouched, so linked nodes meet under at least one choice of e bands.
 
-In a bucket a search over pivots spreads from node to node: what a node reaches is not
-compared again, and only the links that join something are returned. A bucket of more
-than ``MAX_BUCKET`` nodes is not searched; its nodes link through shared middle points
-instead: two fingerprints are within 2r bits exactly if some value is within r
-bits of both, so one row per node and value, aggregated to the smallest node, gives the same
-components without comparing pairs. Both ways are exact; as the second needs an even m,
-an odd m always takes the first.
+Buckets of equal keys reach a task sorted, and all buckets of a block of rows are searched at
+once: every round takes one node of each bucket, compares it with the bucket's nodes not reached yet
+(coordinates first, then bits) and queues those that link with it. What a node reaches
+is not compared again, and only the links that join something are returned. The first key length
+follows from the number of nodes; nodes of buckets of more than ``max_bucket`` are dealt
+out again with longer keys. Buckets of the longest are searched at any size; for 4 bits these
+have 40 fixed bits and more, so no bucket can hold over 2 ** 24 fingerprints.
 
 Rows without doc_id get a fingerprint, link with nothing and have a null component.
 Texts that are null or without words have fingerprint 0, linked like any other. Repeated
@@ -28,10 +28,12 @@ the equal id. An empty table gives an empty result; other columns do not matter.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -44,7 +46,9 @@ from tagweave.operators.lineage import settle
 SHINGLE = 4
 MAX_BITS = 4
 N_PIVOTS = 24
-MAX_BUCKET = 16_384
+MAX_BUCKET = 4096
+MOST_KEYS = 1000
+BLOCK = 1 << 16
 CHUNK = 1 << 15
 
 
@@ -89,124 +93,132 @@ def pivots(n: int = N_PIVOTS) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(str(i)) for i in range(n)], np.uint64).view(np.int64).tolist()
 
 
-def pivot_table(nodes: DataFrame, n: int = N_PIVOTS) -> DataFrame:
-    """``nodes (fp, rep)`` with ``dist``: one byte per reference fingerprint."""
-    distances = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))) for p in pivots(n)]
-    as_bytes = F.concat(*(F.unhex(F.lpad(F.hex(d), 2, "0")) for d in distances))
-    return nodes.select("fp", "rep", as_bytes.alias("dist"))
+def pivot_table(fp: np.ndarray, n: int = N_PIVOTS) -> np.ndarray:
+    """Distances of unsigned fingerprints to each reference fingerprint, a row per reference."""
+    references = np.array(pivots(n), np.int64).view(np.uint64)
+    return np.bitwise_count(fp ^ references[:, None]).astype(np.int8)
 
 
-def band_masks(max_bits: int) -> list[int]:
-    """Bit masks of every pair of bands, signed; one changed bit can spoil one band."""
-    edges = np.linspace(0, 64, max_bits + 3).astype(int)
+def band_masks(max_bits: int, extra: int = 2) -> list[int]:
+    """Bit masks of every choice of ``extra`` of max_bits + extra bands, signed."""
+    edges = np.linspace(0, 64, max_bits + extra + 1).astype(int)
     bands = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges, edges[1:], strict=False)]
-    whole = np.array([x | y for x, y in combinations(bands, 2)], np.uint64)
+    whole = np.array([sum(x) for x in combinations(bands, extra)], np.uint64)
     return whole.view(np.int64).tolist()
 
 
-def bucket_links(fp: np.ndarray, dist: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that join the nodes of a bucket into its components.
+def key_lengths(max_bits: int) -> list[int]:
+    """How many bands make a key, from short to long keys."""
+    return [2] + [e for e in (4, 6, 8) if comb(max_bits + e, e) <= MOST_KEYS]
 
-    ``fp`` uint64, ``dist`` (nodes, pivots) int16, both in order of the first pivot
-    distance. Nodes not reached yet are searched from each reached node once.
+
+def bucket_links(fp: np.ndarray, bucket: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that join the nodes of each bucket into its components.
+
+    ``bucket`` numbers the buckets from 0 in rising order. Nodes not reached yet
+    are searched from each reached node once.
     """
-    n = len(fp)
-    first = dist[:, 0]
-    waiting = np.ones(n, bool)
-    left, right = [], []
-    for seed in range(n):
-        if not waiting[seed]:
-            continue
-        waiting[seed] = False
-        queue = [seed]
-        while queue:
-            i = queue.pop()
-            lo = np.searchsorted(first, first[i] - max_bits, "left")
-            hi = np.searchsorted(first, first[i] + max_bits, "right")
-            near = lo + np.flatnonzero(waiting[lo:hi])
-            # one coordinate after the other, on ever fewer nodes
-            for p in range(1, dist.shape[1]):
-                if not len(near):
-                    break
-                near = near[np.abs(dist[near, p] - dist[i, p]) <= max_bits]
+    dist = pivot_table(fp)
+    taken = np.flatnonzero(np.diff(bucket, prepend=-1))
+    waiting = np.flatnonzero(np.diff(bucket, prepend=-1) == 0)
+    queue = np.array([], np.int64)
+    at = np.zeros(bucket[-1] + 1 if len(bucket) else 0, np.int64)
+    left, right = [queue], [queue]
+    while len(waiting):
+        at[bucket[taken]] = taken
+        near = np.arange(len(waiting))
+        for d in dist:
+            w = waiting[near]
+            near = near[np.abs(d[w] - d[at[bucket[w]]]) <= max_bits]
             if not len(near):
+                break
+        w = waiting[near]
+        near = near[np.bitwise_count(fp[w] ^ fp[at[bucket[w]]]) <= max_bits]
+        reached = waiting[near]
+        left.append(at[bucket[reached]])
+        right.append(reached)
+        waiting = np.delete(waiting, near)
+        # the next of each bucket that still waits: a reached node, else a new start
+        own = bucket[waiting]
+        open_ = np.zeros(len(at), bool)
+        open_[own] = True
+        queue = np.concatenate([queue, reached])
+        queue = queue[open_[bucket[queue]]]
+        start = np.flatnonzero(np.diff(own, prepend=-1))
+        at[own[start]] = waiting[start]
+        at[bucket[queue]] = queue
+        taken = at[own[start]]
+        queue = queue[at[bucket[queue]] != queue]
+        waiting = waiting[at[own] != waiting]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _search_sorted(max_bits: int, block: int = BLOCK):
+    """Links of rows ``(band, key, fp, rep)`` sorted by band and key, whole buckets at a time."""
+
+    def found(columns: list[np.ndarray]) -> pa.RecordBatch:
+        band, key, fp, rep = columns
+        change = (np.diff(band) != 0) | (np.diff(key) != 0)
+        a, b = bucket_links(fp.view(np.uint64), np.cumsum(np.append(False, change)), max_bits)
+        return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, wanted = [], 0, block
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+            if n < wanted:
                 continue
-            near = near[np.bitwise_count(fp[near] ^ fp[i]) <= max_bits]
-            waiting[near] = False
-            left += [i] * len(near)
-            right += near.tolist()
-            queue += near.tolist()
-    return np.array(left, np.int64), np.array(right, np.int64)
-
-
-def _search_bucket(max_bits: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        dist = np.frombuffer(b"".join(pdf["dist"]), np.uint8).reshape(len(fp), -1).astype(np.int16)
-        order = np.lexsort((fp, dist[:, 0]))
-        a, b = bucket_links(fp[order], dist[order], max_bits)
-        rep = pdf["rep"].to_numpy()[order]
-        return pd.DataFrame({"src": rep[a], "dst": rep[b]})
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            # the last bucket may go on in the next batch
+            same = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
+            end = n - int(same.sum())
+            if end:
+                yield found([c[:end] for c in columns])
+            held, n = [[c[end:] for c in columns]], n - end
+            wanted = max(block, 2 * n)
+        if held:
+            yield found([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return run
 
 
-def _middle_links(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """Links of ``nodes (fp, rep)`` through every value within half the (even) distance."""
-    flips = [
-        sum(1 << b for b in bits)
-        for r in range(max_bits // 2 + 1)
-        for bits in combinations(range(64), r)
-    ]
-    masks = ",".join(map(str, np.array(flips, np.uint64).view(np.int64)))
-    reached = nodes.select(
-        "rep", "fp", F.explode(F.split(F.lit(masks), ",").cast("array<long>")).alias("m")
-    ).select("rep", F.col("fp").bitwiseXOR(F.col("m")).alias("v"))
-    met = (
-        reached.groupBy("v")
-        .agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-        .where(F.col("lo") != F.col("hi"))
-        .select("v", "lo")
-    )
-    return (
-        reached.join(met, "v")
-        .where(F.col("rep") != F.col("lo"))
-        .select(F.col("rep").alias("src"), F.col("lo").alias("dst"))
-        .distinct()
-    )
-
-
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """``(src, dst)`` of ``rep``: enough links to join every component of ``nodes (fp, rep)``."""
-    masks = band_masks(max_bits)
-    keyed = settle(
-        pivot_table(nodes).select(
-            "fp",
-            "rep",
-            "dist",
-            F.explode(
-                F.array(
-                    *(
-                        F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
-                        for i, m in enumerate(masks)
-                    )
-                )
-            ).alias("k"),
-        ).select("fp", "rep", "dist", "k.band", "k.key")
-    )
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    sized = keyed.join(sizes, ["band", "key"])
-    if max_bits % 2:
-        max_bucket = 1 << 62
-    found = (
-        sized.where(F.col("n") <= max_bucket)
-        .groupBy("band", "key")
-        .applyInPandas(_search_bucket(max_bits), "src long, dst long")
-    )
-    crowded = settle(sized.where(F.col("n") > max_bucket).select("fp", "rep").distinct())
-    if not crowded.isEmpty():
-        found = found.unionByName(_middle_links(crowded, max_bits))
-    return found
+    total = nodes.count()
+    lengths = key_lengths(max_bits)
+    # keys long enough for some tens of evenly spread nodes a bucket
+    while len(lengths) > 1 and total >> (64 * lengths[0] // (max_bits + lengths[0])) > 64:
+        lengths.pop(0)
+    found = []
+    for extra in lengths:
+        masks = band_masks(max_bits, extra)
+        keys = [
+            F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
+            for i, m in enumerate(masks)
+        ]
+        keyed = nodes.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select(
+            "k.band", "k.key", "fp", "rep"
+        )
+        crowded = None
+        if extra != lengths[-1] and total > max_bucket:
+            sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"))
+            hot = settle(sizes.where(F.col("n") > max_bucket).select("band", "key"))
+            if not hot.isEmpty():
+                crowded = settle(keyed.join(hot, ["band", "key"], "left_semi").select("fp", "rep").distinct())
+                keyed = keyed.join(hot, ["band", "key"], "left_anti")
+        found.append(
+            keyed.repartition("band", "key")
+            .sortWithinPartitions("band", "key")
+            .select("band", "key", "fp", "rep")
+            .mapInArrow(_search_sorted(max_bits), "src long, dst long")
+        )
+        if crowded is None:
+            break
+        nodes = crowded
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(

@@ -193,12 +193,57 @@ def test_links_between_fingerprints(spark, max_bucket):
     nodes = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, rep long")
     got = simhash.links(nodes, max_bucket=max_bucket).collect()
     near = np.bitwise_count(fps[:, None] ^ fps) <= 4
-    if max_bucket > 3:
-        assert all(near[r.src, r.dst] for r in got)
+    assert all(near[r.src, r.dst] for r in got)
     ids = range(len(fps))
     assert components(ids, [(r.src, r.dst) for r in got]) == components(ids, np.argwhere(near).tolist())
 
 
+def test_links_of_a_crowded_bucket():
+    # 21,000 nodes agree in 42 bits; steps of up to four bits lead through chains and islands
+    rng = np.random.default_rng(2)
+    fps = np.unique(rng.integers(0, 1 << 22, 22_050, np.uint64) << np.uint64(20))[:21_000]
+    bucket = np.zeros(len(fps) + 4, np.int64)
+    bucket[-4:] = [1, 1, 2, 2]
+    rows = np.concatenate([fps, np.array([0, 31, 0, 15], np.uint64)])
+    a, b = simhash.bucket_links(rows, bucket, 2)
+    assert (np.bitwise_count(rows[a] ^ rows[b]) <= 2).all() and (bucket[a] == bucket[b]).all()
+    assert not (b >= len(fps)).any() and len(simhash.bucket_links(rows, bucket, 4)[0]) >= len(fps)
+    # reached through all values within a step: every node with a neighbour, by lookup
+    steps = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
+    place = {int(f): i for i, f in enumerate(fps)}
+    name = list(range(len(fps)))
+
+    def root(i):
+        while name[i] != i:
+            name[i] = i = name[name[i]]
+        return i
+
+    for f, i in place.items():
+        for step in steps:
+            j = place.get(f ^ step)
+            if j is not None:
+                x, y = sorted((root(i), root(j)))
+                name[y] = x
+    want = [root(i) for i in range(len(fps))]
+    name = list(range(len(fps)))
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = sorted((root(i), root(j)))
+        name[y] = x
+    assert [root(i) for i in range(len(fps))] == want
+
+
+def test_bands_meet_and_bound_buckets():
+    rng = np.random.default_rng(3)
+    for max_bits in (1, 3, 4):
+        for extra in simhash.key_lengths(max_bits):
+            masks = np.array(simhash.band_masks(max_bits, extra), np.int64).view(np.uint64)
+            for _ in range(50):
+                flips = sum(1 << int(i) for i in rng.choice(64, max_bits, replace=False))
+                assert ((masks & np.uint64(flips)) == 0).any()
+    longest = simhash.band_masks(4, simhash.key_lengths(4)[-1])
+    assert min(np.bitwise_count(np.array(longest, np.int64).view(np.uint64))) >= 40
+
+
 def test_one_of_each(docs):
     plain = docs.select("doc_id", "text", "source")
     kept = simhash.one_of_each(plain, simhash.near_duplicates(plain)).collect()
