@@ -2,9 +2,9 @@
 
 The model: a word is drawn in the restaurant of its context, the class of the word before
 (``2 ** CONTEXT_BITS`` classes by hash, so what is kept per context is bounded). All context
-restaurants share one parent, the unigram restaurant, whose base gives ``UNKNOWN`` to
-words that training never saw and the rest evenly to the known ones. Tokens of a text are its words in
-lower case (A-Z) and one end.
+restaurants share one parent, the unigram restaurant, whose base is even over the V known words
+and one unknown: 1 / (V + 1) for each, and for each word that training never saw. Tokens of a text are
+its words in lower case (A-Z) and one end.
 
 Seating is sampled by Gibbs. The state of a restaurant is the number of tables t of each word with
 c customers. In a sweep every (context, word) is seated anew given the other words' tables and the parent: up
@@ -15,7 +15,8 @@ and the parent is seated the same way. All restaurants of a level are sampled at
 totals of the sweep before. After ``BURN_IN`` sweeps, ``SAMPLES`` sweeps each give
 predictive probabilities, and their average is the model's.
 
-Work is dealt out by word: all contexts of a word are in one part. Words that would outweigh a part (a
+Work is dealt out by word: all contexts of a word are in one part, and the number of parts follows the
+bytes of text (``PART_BYTES`` each). Words that would outweigh a part (a
 bounded number, found in a pass before) are dealt out by word and context, and their
 sums are exchanged. Between sweeps the parts exchange only totals: one number per context class and per such
 word. Draws depend on the word, the context and the sweep, so lost parts are recomputed alike.
@@ -45,14 +46,14 @@ CONTEXT_BITS = 16
 CONTEXTS = 1 << CONTEXT_BITS
 DISCOUNTS = (0.8, 0.8)  # unigram, context
 STRENGTHS = (1.0, 2.0)
-UNKNOWN = 0.3
 BURN_IN = 1
 SAMPLES = 3
 EXACT = 64
 FOLDS, HELD_OUT = 5, 1
-CHUNK_TOKENS = 1 << 19
+CHUNK_TOKENS = 1 << 18
 CHUNK_DOCS = 1 << 16  # a document's place in its chunk has 16 bits
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+PART_BYTES = 2 << 20
 END = xxhash.xxh64_intdigest(b" ")  # no word has a space
 
 
@@ -333,11 +334,9 @@ class Part:
         customers, roots = self.customers.copy(), self.roots.copy()
         customers[self.heavy] = totals.heavy_customers[self.heavy_at]
         roots[self.heavy] = heavy_roots[self.heavy_at]
-        known = customers > 0
-        base = np.where(known, self.model["known_base"], UNKNOWN)
         d, strength = DISCOUNTS[0], STRENGTHS[0]
-        own = np.maximum(customers - d * roots, 0) * known
-        return (own + (strength + d * totals.roots) * base) / (strength + totals.customers)
+        own = np.maximum(customers - d * roots, 0)
+        return (own + (strength + d * totals.roots) * self.model["base"]) / (strength + totals.customers)
 
     def sweep(self, number: int, totals: Totals, heavy_roots: np.ndarray) -> None:
         """Seat every key anew given the totals of the sweep before."""
@@ -349,7 +348,7 @@ class Part:
         others = np.maximum(totals.roots - self.roots, 0)
         self.roots = sample_tables(
             np.where(self.heavy, 0, self.customers),
-            np.full(len(self.words), self.model["known_base"]),
+            np.full(len(self.words), self.model["base"]),
             others,
             0,
             rng,
@@ -365,38 +364,40 @@ class Part:
         return (own + (strength + d * tables) * parent) / (strength + customers)
 
 
-SUMS = "tables array<int>, counts array<int>, heavy array<long>, heavy_counts array<long>, customers long, roots long, train long, known long"
+SUMS = "tables array<long>, counts array<long>, heavy array<long>, heavy_counts array<long>, customers long, roots long, train long, known long"
 KEY_COLUMNS = ["part", "words", "word_keys", "contexts", "train"]
 
 
 def _sum_parts(model: dict, history: list[tuple[Totals, np.ndarray]]):
-    """Totals of each part after the sweeps that ``history`` starts."""
+    """Totals of each task's parts, in one row, after the sweeps that ``history`` starts."""
 
     def run(batches):
+        light = np.zeros(4, np.int64)
+        heavy = np.zeros((2, len(model["heavy"])), np.int64)
+        contexts = np.zeros((2, CONTEXTS), np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                part = Part(row, model)
+            for i in range(batch.num_rows):
+                part = Part({c: batch.column(c)[i].as_py() for c in KEY_COLUMNS}, model)
                 for number, (totals, heavy_roots) in enumerate(history):
                     part.sweep(number, totals, heavy_roots)
-                light = ~part.heavy
-                heavy = np.zeros((2, len(model["heavy"])), np.int64)
+                some = ~part.heavy
                 np.add.at(heavy[0], part.heavy_at, part.customers[part.heavy])
                 np.add.at(heavy[1], part.heavy_at, part.count[part.heavy])
-                values = [
-                    np.bincount(part.contexts, part.tables, CONTEXTS).astype(np.int64),
-                    np.bincount(part.contexts, part.c, CONTEXTS).astype(np.int64) if not history else [],
-                    heavy[0],
-                    heavy[1],
-                    int(part.customers[light].sum()),
-                    int(part.roots[light].sum()),
-                    int(part.c.sum()),
-                    int((part.count[light] > 0).sum()),
+                contexts[0] += np.bincount(part.contexts, part.tables, CONTEXTS).astype(np.int64)
+                if not history:
+                    contexts[1] += np.bincount(part.contexts, part.c, CONTEXTS).astype(np.int64)
+                light += [
+                    part.customers[some].sum(),
+                    part.roots[some].sum(),
+                    part.c.sum(),
+                    (part.count[some] > 0).sum(),
                 ]
-                kinds = [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())] * 2 + [pa.int64()] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], k) for v, k in zip(values, kinds, strict=True)],
-                    names=[c.split()[0] for c in SUMS.split(", ")],
-                )
+        values = [contexts[0], [] if history else contexts[1], heavy[0], heavy[1], *light.tolist()]
+        kinds = [pa.list_(pa.int64())] * 4 + [pa.int64()] * 4
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v], k) for v, k in zip(values, kinds, strict=True)],
+            names=[c.split()[0] for c in SUMS.split(", ")],
+        )
 
     return run
 
@@ -414,7 +415,7 @@ def _array_sums(sums: DataFrame, column: str, n: int) -> np.ndarray:
 
 def train(keys: DataFrame, heavy: np.ndarray) -> tuple[dict, list[tuple[Totals, np.ndarray]]]:
     """The model's constants and the totals before each sweep and after the last."""
-    model = {"heavy": heavy, "known_base": 1.0, "context_customers": np.zeros(CONTEXTS)}
+    model = {"heavy": heavy, "base": 1.0, "context_customers": np.zeros(CONTEXTS)}
     history: list[tuple[Totals, np.ndarray]] = []
     for number in range(BURN_IN + SAMPLES + 1):
         sums = settle(keys.mapInArrow(_sum_parts(model, history), SUMS))
@@ -424,7 +425,7 @@ def train(keys: DataFrame, heavy: np.ndarray) -> tuple[dict, list[tuple[Totals,
             heavy_counts = _array_sums(sums, "heavy_counts", len(heavy))
             known = light.known + int((heavy_counts > 0).sum())
             model |= {
-                "known_base": (1 - UNKNOWN) / max(known, 1),
+                "base": 1 / (known + 1),
                 "context_customers": _array_sums(sums, "counts", CONTEXTS),
                 "heavy_counts": heavy_counts,
                 "train_tokens": light.train,
@@ -434,7 +435,7 @@ def train(keys: DataFrame, heavy: np.ndarray) -> tuple[dict, list[tuple[Totals,
             before, roots = history[-1]
             heavy_roots = sample_tables(
                 heavy_customers,
-                np.full(len(heavy), model["known_base"]),
+                np.full(len(heavy), model["base"]),
                 np.maximum(before.roots - roots, 0),
                 0,
                 np.random.default_rng([1 << 31, number]),
@@ -467,7 +468,8 @@ def _score_part(model: dict, history: list[tuple[Totals, np.ndarray]]):
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 if r["part"] < 0:
                     chunk = int(np.frombuffer(r["chunks"], np.int64)[0])
                     yield row(chunk, r["word_keys"], r["words"], r["contexts"], r["train"], None, None, None, None)
@@ -551,12 +553,14 @@ def _add_up(train_tokens: int, known: int):
 def score_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """One row (``RESULT``) per document; train_tokens is the number of training tokens.
 
-    ``parts``: in how many parts the words are dealt out, by default twice the
-    session's number of shuffle partitions; a part should fit in a task.
+    ``parts``: in how many parts the words are dealt out, by default one for every
+    ``PART_BYTES`` of text; a part should fit in a task.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = 1 + size // PART_BYTES
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     heavy = heavy_words(docs, parts)
     model_table = settle(

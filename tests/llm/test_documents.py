@@ -463,7 +463,7 @@ def test_model_probabilities_sum_to_one():
     }
     customers = np.zeros(language_model.CONTEXTS)
     customers[:4] = c.sum(1)
-    model = {"heavy": heavy, "known_base": (1 - language_model.UNKNOWN) / 6, "context_customers": customers}
+    model = {"heavy": heavy, "base": 1 / 7, "context_customers": customers}
     part = language_model.Part(row, model)
 
     def totals():
@@ -475,7 +475,7 @@ def test_model_probabilities_sum_to_one():
     assert (part.tables >= 1).all() and (part.tables <= part.c).all()
     p = part.predict(now, heavy).reshape(6, 4).sum(0)
     d, s = language_model.DISCOUNTS, language_model.STRENGTHS
-    unknown = (s[0] + d[0] * now.roots) * language_model.UNKNOWN / (s[0] + now.customers)
+    unknown = (s[0] + d[0] * now.roots) / 7 / (s[0] + now.customers)
     rest = (s[1] + d[1] * now.tables[:4]) * unknown / (s[1] + customers[:4])
     assert p + rest == pytest.approx(np.ones(4))
 
