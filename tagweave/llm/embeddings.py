@@ -313,11 +313,12 @@ def near_vectors(
     short_batches(vectors.sparkSession)
     eps = math.sqrt(max(0.0, 2 - 2 * min_cos)) + SLACK
     found, rows = classes(vectors)
-    found = settle(found)
+    # a class has a number of its own: one id may stand on rows of several classes
+    found = settle(found.withColumn("cls", F.monotonically_increasing_id()))
     axes = directions(found, k, sample)
     order = ["label", "dim", *(f"c{i}" for i in range(k)), "rep"]
     cells = ", ".join(f"c{i} int" for i in range(k))
-    placed = found.select("label", "dim", "rep", "n", "embedding").mapInArrow(
+    placed = found.select("label", "dim", F.col("cls").alias("rep"), "n", "embedding").mapInArrow(
         _project(axes, eps, k),
         f"label long, dim int, {cells}, rep long, n long, embedding array<double>, x array<double>",
     )
@@ -339,16 +340,21 @@ def near_vectors(
     )
     links = compared.where(F.col("dst").isNotNull()).select("src", "dst")
     counts = compared.where(F.col("dst").isNull()).groupBy("src").agg(F.sum("add").alias("linked"))
-    parts = connected_components(links)
+    parts = settle(connected_components(links))
+    names = (
+        parts.join(found.select("cls", "rep"), F.col("node") == F.col("cls"))
+        .groupBy("component")
+        .agg(F.min("rep").alias("name"))
+    )
     per_class = (
-        found.select("h1", "h2", "rep", "n")
-        .join(parts, F.col("rep") == F.col("node"), "left")
-        .join(counts, F.col("rep") == F.col("src"), "left")
+        found.select("h1", "h2", "cls", "rep", "n")
+        .join(parts.join(names, "component"), F.col("cls") == F.col("node"), "left")
+        .join(counts, F.col("cls") == F.col("src"), "left")
         .select(
             "h1",
             "h2",
             (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("name", "rep").alias("component_id"),
         )
     )
     discard(placed)

@@ -8,15 +8,15 @@ aggregated patterns by successive shortest paths; only those reach the driver, a
 ``MAX_PATTERNS`` of them (more are an error, not a cut).
 
 A pattern's documents are then selected by a seeded order: whole passes over all of them, and one
-more pass over the first ones in order of md5(seed:doc_id), then id, up to the
+more pass over the first ones in order of md5(seed:doc_id), id and hash of the text, up to the
 token count that is nearest to the flow. The order is never sorted as a whole: sizes
 are summed by the first digits of the hash, and only the documents in the digit group
 where the flow ends are ranked one by one. So each pattern has one place in the order up to
 which documents are taken once more, and documents are decided without a shuffle.
 
 Null sources are a source of their own, last. Null texts have size 0; their documents,
-like all of size 0, are taken 0 times. Rows with one id and source are taken together;
-null ids hash as the empty text. Empty tables give empty results. Other columns pass through.
+like all of size 0, are taken 0 times. Rows with one id and one text are taken together; rows
+without id are ordered by their text instead. Empty tables give empty results. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ MAX_PATTERNS = 100_000
 MAX_REPEATS = 2
 SEED = "mix-1"
 DIGITS = 3
+FIRST = -(1 << 63)
 SHARE = 1.5
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -132,20 +133,26 @@ def route(
 
 
 def _order_key(seed: str) -> Column:
-    return F.md5(
-        F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    by_text = F.concat(F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), by_text)))
+
+
+def _place(key: Column, text_hash: Column) -> Column:
+    """A row's place in the order; only rows with equal ids and texts share one."""
+    return F.struct(
+        key.alias("_key"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"),
+        text_hash.alias("text"),
     )
 
 
-def last_taken(docs: DataFrame, quota: DataFrame, seed: str = SEED) -> DataFrame:
+def last_taken(docs: DataFrame, quota: DataFrame) -> DataFrame:
     """``quota`` with ``_passes`` and ``_last``, where the additional pass ends.
 
-    ``docs (doc_id, _pattern, _size)``; ``quota (_pattern, _quota, _all)`` has one row per
+    ``docs (doc_id, _key, _text, _pattern, _size)``; ``quota (_pattern, _quota, _all)`` has one row per
     pattern: the tokens it gives and those it has.
     """
-    keyed = docs.withColumn("_key", _order_key(seed)).withColumn(
-        "_digits", F.substring("_key", 1, DIGITS)
-    )
+    keyed = docs.withColumn("_digits", F.substring("_key", 1, DIGITS))
     quota = quota.withColumn(
         "_passes", F.when(F.col("_all") > 0, F.floor(F.col("_quota") / F.col("_all"))).otherwise(0)
     ).withColumn("_left", F.col("_quota") - F.col("_passes") * F.col("_all"))
@@ -159,9 +166,10 @@ def last_taken(docs: DataFrame, quota: DataFrame, seed: str = SEED) -> DataFrame
         .where((F.col("_left") > F.col("_before")) & (F.col("_left") <= F.col("_before") + F.col("_tokens")))
         .select("_pattern", "_digits", (F.col("_left") - F.col("_before")).alias("_left"))
     )
-    within = Window.partitionBy("_pattern").orderBy("_key", "doc_id", "_size")
+    within = Window.partitionBy("_pattern").orderBy("_key", "doc_id", "_text", "_size")
     running = F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    place = F.struct("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
+    place = _place(F.col("_key"), F.col("_text"))
+    first = F.struct(F.col("_digits").alias("_key"), F.lit(FIRST).alias("id"), F.lit(FIRST).alias("text"))
     ends = (
         keyed.join(F.broadcast(edge), ["_pattern", "_digits"])
         .withColumn("_nearer", 2 * running - F.col("_size") <= 2 * F.col("_left"))
@@ -173,7 +181,7 @@ def last_taken(docs: DataFrame, quota: DataFrame, seed: str = SEED) -> DataFrame
         # even the first document of the group may be too much
         .select(
             "_pattern",
-            F.coalesce("_in", F.struct(F.col("_digits").alias("_key"), F.lit(-(1 << 63)).alias("id"))).alias("_last"),
+            F.coalesce("_in", first).alias("_last"),
         )
     )
     return quota.join(ends, "_pattern", "left")
@@ -196,7 +204,12 @@ def mix(
     docs = docs.drop("size", "taken", "_pattern", "_size").withColumns(
         {"_size": word_count(), "_pattern": F.array_sort(F.array_distinct(sources))}
     )
-    thin = settle(docs.select("doc_id", "_pattern", "_size"))
+    text_hash = F.xxhash64("text")
+    thin = settle(
+        docs.select(
+            "doc_id", _order_key(seed).alias("_key"), text_hash.alias("_text"), "_pattern", "_size"
+        )
+    )
     rows = (
         thin.groupBy("_pattern").agg(F.sum("_size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     )
@@ -222,12 +235,8 @@ def mix(
         "pattern array<string>, source string, tokens long, source_size long, target double",
     )
     # one row per pattern, of which there are MAX_PATTERNS at most
-    ends = F.broadcast(settle(last_taken(thin, quota, seed).select("_pattern", "_passes", "_last")))
-    place = F.struct(
-        _order_key(seed).alias("_key"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
-    )
-    more = F.coalesce((place <= F.col("_last")).cast("int"), F.lit(0))
+    ends = F.broadcast(settle(last_taken(thin, quota).select("_pattern", "_passes", "_last")))
+    more = F.coalesce((_place(_order_key(seed), text_hash) <= F.col("_last")).cast("int"), F.lit(0))
     taken = docs.join(ends, "_pattern", "left").withColumn(
         "taken", (F.col("_size") * (F.coalesce("_passes", F.lit(0)) + more)).cast("long")
     )

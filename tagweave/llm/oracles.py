@@ -193,7 +193,7 @@ FROM marked GROUP BY doc_id
 """,
     "op9_mixing": rf"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5,
     CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 0
       ELSE len(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_SPACE}+')) END AS size
   FROM documents
@@ -215,7 +215,7 @@ targets AS (
 ),
 keyed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, s.source,
-    md5('mix-1:' || coalesce(s.doc_id::VARCHAR, '')) AS k,
+    md5('mix-1:' || coalesce(s.doc_id::VARCHAR, ':' || s.text_md5)) AS k,
     round_even(t.target, 0)::BIGINT AS quota
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ),

@@ -407,6 +407,17 @@ def test_mixing(docs):
     assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in again)
 
 
+def test_mixing_without_ids(spark):
+    """Rows without id, or with one id, still meet their source's target."""
+    rows = [(None, f"{'w ' * (1 + i % 9)}{i}", "a") for i in range(100)]
+    rows += [(7, f"{'w ' * (1 + i % 9)}{i}", "b") for i in range(100)]
+    got = mixing.mix_single(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10
+        assert all(0 <= r.taken <= 2 * r["size"] for r in own)
+
+
 def test_flow_prefers_first_passes():
     flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 4}, {"a": 14, "b": 12})
     to = lambda s: sum(f.get(s, 0) for f in flow.values())

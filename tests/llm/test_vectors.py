@@ -46,6 +46,13 @@ def test_near_vectors(spark, block):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows)))
 
 
+def test_vectors_that_share_an_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, 1, a, "x"), (5, 1, b, "x"), (2, 1, [1.0, 0.1, 0.0], "x"), (9, 1, [0.0, 1.0, 0.1], "x"), (7, 1, b, "x")]
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == [(2, 1, 2, True), (5, 1, 2, False), (5, 2, 5, True), (7, 2, 5, False), (9, 2, 5, False)]
+
+
 def test_no_vectors(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).isEmpty()
 
