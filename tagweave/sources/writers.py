@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.operators.graph import Graph
@@ -16,6 +16,30 @@ def _write(df: DataFrame, path: str, fmt: str, mode: str) -> None:
     writer.format(fmt).save(path)
 
 
+def _write_ordered(df: DataFrame, path: str, mode: str) -> None:
+    """CSV of sorted rows: the files read one after the other by name give their order.
+
+    Every file has a header. ``path/_manifest``, which readers of ``path`` skip, holds
+    each file's name and number of rows as JSON.
+    """
+    _write(df, path, "csv", mode)
+    manifest(df.sparkSession, path).coalesce(1).write.mode("overwrite").json(f"{path}/_manifest")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, rows)`` of a CSV folder, files without rows left out.
+
+    Rows may hold line breaks; a file is read whole by one task, as one task wrote it.
+    """
+    rows = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path)
+    return (
+        rows.select(F.col("_metadata.file_name").alias("file"))
+        .groupBy("file")
+        .agg(F.count("*").alias("rows"))
+        .orderBy("file")
+    )
+
+
 def write_nodes(
     df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error"
 ) -> None:
@@ -52,14 +76,16 @@ def export_edge_list(
     row_names: tuple[str, ...] | None = None,
     mode: str = "error",
 ) -> None:
-    """Edge CSV; ``row_names`` gives the order for the unnamed first column."""
+    """Edge CSV; ``row_names`` gives the order for the unnamed first column.
+
+    Files follow the row names, or the ids of both ends without them.
+    """
     if row_names is None:
-        table = edge_table(graph)
+        table = edge_table(graph).orderBy("Source", "Target")
     else:
-        table = edge_table_with_row_names(graph, row_names).withColumnRenamed(
-            "row_name", ""
-        )
-    _write(table, path, "csv", mode)
+        table = edge_table_with_row_names(graph, row_names).orderBy("row_name")
+        table = table.withColumnRenamed("row_name", "")
+    _write_ordered(table, path, mode)
 
 
 def node_table(graph: Graph) -> DataFrame:
@@ -69,12 +95,13 @@ def node_table(graph: Graph) -> DataFrame:
 
 
 def export_node_list(graph: Graph, path: str, mode: str = "error") -> None:
-    _write(node_table(graph), path, "csv", mode)
+    """Node CSV in order of ``Id``."""
+    _write_ordered(node_table(graph).orderBy("Id"), path, mode)
 
 
 def export_top_papers(graph: Graph, path: str, mode: str = "error") -> None:
-    """Per community its best connected paper and its size."""
-    _write(top_by_group(graph.nodes), path, "csv", mode)
+    """Per community its best connected paper and its size, in order of communities."""
+    _write_ordered(top_by_group(graph.nodes).orderBy("community"), path, mode)
 
 
 def widget_nodes(graph: Graph, label: str, group: str = "community") -> DataFrame:

@@ -1,6 +1,8 @@
-import pytest
+import csv
 import json
 
+import pytest
+
 from tagweave import sources
 from tagweave.operators import graph
 from tagweave.plans import networks
@@ -170,6 +172,42 @@ def test_paper_graph_and_exports(spark, tmp_path):
     assert {r["name"] for r in records} == {f"Title RR {i}" for i in range(1, 5)}
 
 
+def test_ordered_exports(spark, tmp_path):
+    edges = spark.range(2000).selectExpr(
+        "cast(id * 7919 % 2000 as string) AS paper_1",
+        "cast(id % 900 as string) AS paper_2",
+        "id % 5 AS shared_keywords",
+        "'a, \\nb' AS new_theme1",
+        "cast(null as string) AS new_theme2",
+    )
+    g = graph.build_graph(edges)
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.export_edge_list(g, str(tmp_path / "e"), ("paper_2", "paper_1"))
+        writers.export_node_list(g, str(tmp_path / "n"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+    def in_order(folder):
+        files = sorted((tmp_path / folder).glob("part-*.csv"))
+        rows = [list(csv.DictReader(f.open(newline=""))) for f in files]
+        told = spark.read.json(str(tmp_path / folder / "_manifest")).collect()
+        assert {r.file: r.rows for r in told} == {f.name: len(x) for f, x in zip(files, rows, strict=True) if x}
+        assert sum(map(bool, rows)) > 1
+        return sum(rows, [])
+
+    found = in_order("e")
+    assert [int(r[""]) for r in found] == list(range(1, 2001))
+    assert [int(r["Id"]) for r in in_order("n")] == list(range(1, g.nodes.count() + 1))
+    plain = graph.Graph(g.nodes, g.edges.drop("new_theme1"))
+    writers.export_edge_list(plain, str(tmp_path / "p"), ("paper_2", "paper_1"))
+    schema = "row_name int, Source int, Target int, shared_keywords int, new_theme2 string"
+    back, _ = sources.read_stored_graph(spark, str(tmp_path / "p"), edge_schema=schema)
+    want = writers.edge_table(plain).selectExpr("int(Source)", "int(Target)", "int(shared_keywords)", "new_theme2")
+    assert sorted(map(str, back.collect())) == sorted(map(str, want.collect()))
+
+
 def test_heatmap_ranks(spark):
     keywords, reports = catalogue(spark)
     g = graph.build_graph(networks.theme_edges(keywords, reports, "Safety"))
