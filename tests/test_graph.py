@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict, deque
 from itertools import combinations
@@ -349,17 +350,79 @@ def test_star_merges_in_few_rounds(spark):
     assert communities.merge_round(prefs, masses, 199).count() == 199
 
 
+def walk_bits(edges, group):
+    """The map equation, from rates as it is published."""
+    two_m, visits, exits = 2 * len(edges), defaultdict(float), defaultdict(float)
+    for a, b in edges:
+        for v in (a, b):
+            visits[v] += 1 / two_m
+        if group[a] != group[b]:
+            exits[group[a]] += 1 / two_m
+            exits[group[b]] += 1 / two_m
+    inside = defaultdict(float)
+    for v, p in visits.items():
+        inside[group[v]] += p
+    h = lambda x: x * math.log2(x) if x > 0 else 0.0
+    return (
+        h(sum(exits.values()))
+        - 2 * sum(map(h, exits.values()))
+        - sum(map(h, visits.values()))
+        + sum(h(exits[c] + p) for c, p in inside.items())
+    )
+
+
+def bits(df, assign):
+    return flow.code_length(df, assign).first()["bits"]
+
+
 def test_flow_communities(spark):
     edges = random_graph(2, 40, 0.02, 4, 0.6)
     df = edge_df(spark, edges)
     found = flow.flow_communities(df)
     nodes = found.select("node")
-    alone = flow.code_length(df, nodes.withColumn("community", F.col("node")))
-    together = flow.code_length(df, nodes.withColumn("community", F.lit(0).cast("long")))
-    blocks = flow.code_length(df, nodes.withColumn("community", F.col("node") % 4))
-    best = flow.code_length(df, found)
+    alone = bits(df, nodes.withColumn("community", F.col("node")))
+    together = bits(df, nodes.withColumn("community", F.lit(0).cast("long")))
+    blocks = bits(df, nodes.withColumn("community", F.col("node") % 4))
+    best = bits(df, found)
     assert best < min(alone, together)
-    assert best <= blocks + 1e-9
+    assert best <= blocks + 1e-4
+    assert best == pytest.approx(walk_bits(edges, assignment(found)), abs=1e-5)
+    assert blocks == pytest.approx(walk_bits(edges, {v: v % 4 for v in range(40)}), abs=1e-5)
+
+
+def test_flow_does_not_depend_on_partitions(spark):
+    edges = random_graph(5, 60, 0.03, 5, 0.4) + [(0, 0), (3, 8), (3, 8)]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in (1, 7, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.enabled", n != 7)
+            found.append(assignment(flow.flow_communities(edge_df(spark, edges).repartition(n))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found[0] == found[1] == found[2]
+    for community in set(found[0].values()):
+        members = {v for v, c in found[0].items() if c == community}
+        assert community == min(members)
+
+
+def test_flow_moves_mend_a_bad_start(spark):
+    """Two cliques with a node of each in the other's group."""
+    edges = list(combinations(range(8), 2)) + list(combinations(range(8, 16), 2)) + [(0, 8)]
+    links, masses = communities.community_graph(edge_df(spark, edges))
+    start = [(v, v // 8 if v not in (3, 12) else 1 - v // 8) for v in range(16)]
+    assign = spark.createDataFrame(start, "node long, community long")
+    group = assignment(flow.refine(links, masses, assign))
+    assert all(group[v] == v // 8 for v in range(16))
+
+
+def test_flow_without_links(spark):
+    none = edge_df(spark, [])
+    assert flow.flow_communities(none).count() == 0
+    assert bits(none, none.toDF("node", "community")) is None
+    assert assignment(flow.flow_communities(edge_df(spark, [(4, 4), (7, 7)]))) == {4: 4, 7: 7}
 
 
 def test_flow_of_a_star_is_one_group(spark):
