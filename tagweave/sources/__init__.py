@@ -1,5 +1,6 @@
 """Readers, writers and schemas for catalogues and graphs."""
 
+from tagweave.sources.quoted import read_quoted_csv
 from tagweave.sources.readers import (
     read_catalogue,
     read_gephi_edges,
@@ -29,6 +30,7 @@ __all__ = [
     "read_gephi_nodes",
     "read_knowledge_graph",
     "read_nodes",
+    "read_quoted_csv",
     "read_report_keywords",
     "read_stored_graph",
     "snake_case_columns",

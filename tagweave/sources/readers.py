@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tagweave.sources import schemas
+from tagweave.sources.quoted import read_quoted_csv
 
 
 def _read(
@@ -17,14 +18,15 @@ def _read(
 ) -> DataFrame:
     """CSV columns are found by their names in snake case, wherever they stand.
 
-    A file with line breaks inside fields needs ``multi_line``, which reads it in
-    one task.
+    A file with line breaks inside fields needs ``multi_line``; it is read by byte ranges
+    (:mod:`tagweave.sources.quoted`).
     """
     if fmt != "csv":
         return spark.read.schema(schema).format(fmt).load(path)
-    rows = snake_case_columns(
-        spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"').csv(path)
-    )
+    if multi_line:
+        rows = snake_case_columns(read_quoted_csv(spark, path))
+    else:
+        rows = snake_case_columns(spark.read.options(header=True, quote='"', escape='"').csv(path))
     fields = StructType.fromDDL(schema).fields
     missing = [f.name for f in fields if f.name not in rows.columns]
     if missing:
