@@ -394,6 +394,10 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, array_to_string(k, '|') AS keywords, len(k)::BIGINT AS n
         FROM (SELECT doc_id, string_split(replace(text, ';', ','), ', ') AS k
               FROM documents)""",
+    "csv_records": """
+        SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars,
+               md5(coalesce(text, '')) AS text_md5
+        FROM documents""",
     "exploded": _with(PHRASES, "SELECT doc_id, label FROM phrases"),
     "flattened": r"""
         SELECT nodes, count(*) AS n_reports FROM (
@@ -630,6 +634,26 @@ ORACLES: dict[str, str] = {
              USING (component),
            (SELECT count(*) AS m FROM te)""",
     ),
+    "code_length": _te(
+        DEGREE, ADJ,
+        "home AS (SELECT v AS node, least(v, min(w)) AS community FROM adj GROUP BY v)",
+        "mass AS (SELECT community, sum(degree) AS a FROM degrees JOIN home USING (node) GROUP BY 1)",
+        """gates AS (
+             SELECT x.community AS one, y.community AS other FROM te
+             JOIN home x ON x.node = paper_1 JOIN home y ON y.node = paper_2
+             WHERE x.community <> y.community)""",
+        """cuts AS (
+             SELECT community, count(*) AS cut FROM (
+               SELECT one AS community FROM gates UNION ALL SELECT other FROM gates) GROUP BY 1)""",
+        """groups AS (
+             SELECT a::DOUBLE AS a, coalesce(cut, 0)::DOUBLE AS cut
+             FROM mass LEFT JOIN cuts USING (community))""",
+        """terms AS (
+             SELECT -2 * cut * log2(greatest(cut, 1)) + (cut + a) * log2(cut + a) AS t FROM groups
+             UNION ALL SELECT -degree * log2(degree) FROM degrees
+             UNION ALL SELECT sum(cut) * log2(greatest(sum(cut), 1)) FROM groups)""",
+        "SELECT round(sum(t) / (SELECT sum(degree) FROM degrees), 4) AS bits FROM terms",
+    ),
     "merge_round": _te(DEGREE, ROUND, "SELECT c, target FROM merges"),
     "paper_graph": _te(
         INDEX, DEGREE, ADJ, COMPONENTS, PATHS, FIRST_KEYWORDS,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,12 @@ from tagweave.functions import text, vocabulary
 from tagweave.operators import blocks, communities, cooccur, graph, quotient, ranking
 from tagweave.operators.betweenness import betweenness as node_betweenness
 from tagweave.operators.components import connected_components
+from tagweave.operators.flow import code_length as walk_code_length
 from tagweave.operators.flow import flow_communities
-from tagweave.operators.lineage import settle
+from tagweave.operators.lineage import settle, shared_folder
 from tagweave.plans import networks, tables
 from tagweave.plans.preparation import prepare_report_keywords
-from tagweave.sources import writers
+from tagweave.sources import read_quoted_csv, writers
 
 REPORT = networks.REPORT
 PAIR = ("paper_1", "paper_2")
@@ -47,6 +49,21 @@ def keyword_split(spark, d):
     )
 
 
+@query
+def csv_records(spark, d):
+    """Whole documents, line breaks and all, written as CSV and read back by byte ranges."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    whole = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs = tables.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.options(header=True, quoteAll=True, **whole).csv(path)
+    content = F.coalesce("text", F.lit(""))
+    return read_quoted_csv(spark, path, ["doc_id", "text"]).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.length(content).cast("long").alias("n_chars"),
+        F.md5(content).alias("text_md5"),
+    )
+
+
 @query
 def exploded(spark, d):
     return tables.document_phrases(spark, d)
@@ -455,6 +472,16 @@ def modularity(spark, d):
     return score.withColumn("modularity", F.round("modularity", 6))
 
 
+@query
+def code_length(spark, d):
+    """Of the partition that names each node after the smallest of itself and its neighbours."""
+    links = settle(_links(spark, d))
+    ways = links.toDF("node", "other").unionByName(links.toDF("other", "node"))
+    first = ways.groupBy("node").agg(F.min("other").alias("other"))
+    assign = first.select("node", F.least("node", "other").alias("community"))
+    return walk_code_length(links, assign, *PAIR).select(F.round("bits", 4).alias("bits"))
+
+
 @query
 def merge_round(spark, d):
     """The first round of the community search, where every node is alone."""

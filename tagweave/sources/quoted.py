@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,7 +158,7 @@ class QuotedCsv(DataSource):
 def _files(path: str) -> list[tuple[str, int]]:
     """``(file, size)`` of a file, or of those in a folder whose names don't begin with ``_`` or ``.``."""
     if "://" not in path and not path.startswith("file:"):
-        path = f"file://{path}"
+        path = f"file://{os.path.abspath(path)}"
     store, place = pfs.FileSystem.from_uri(path)
     scheme = path[: len(path) - len(place)]
     info = store.get_file_info(place)
