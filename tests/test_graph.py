@@ -391,7 +391,7 @@ def test_flow_communities(spark):
 
 
 def test_flow_does_not_depend_on_partitions(spark):
-    edges = random_graph(5, 60, 0.03, 5, 0.4) + [(0, 0), (3, 8), (3, 8)]
+    edges = random_graph(5, 24, 0.04, 3, 0.6) + [(0, 0), (3, 8), (3, 8)]
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     found = []
     try:
