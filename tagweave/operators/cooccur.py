@@ -18,7 +18,7 @@ Whatever the way, groups are paired in blocks, so a hot group is dealt over many
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ from tagweave.operators.incidence import (
     encode,
     pairs_by_combination,
 )
-from tagweave.operators.lineage import settle
+from tagweave.operators.lineage import settle, shuffles_of
 
 HOT_AT = 1000
 # a row of a combination is wider than a plain pair
@@ -58,17 +58,32 @@ def _ways(n: str, choose: int):
     return ways
 
 
-def _route(table: Incidence, min_shared: int, hot_at: int) -> str:
-    """The cheaper way to the pairs, by the sizes of the groups."""
+def _sizes(table: Incidence, min_shared: int, hot_at: int) -> dict[str, float]:
+    """Sizes of the groups: the largest of a key, rows, and pairs by key, ordinary key and combination."""
     zero = F.lit(0.0)
+    ways = _ways("n", 2)
     by_key = table.keys.agg(
-        F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.coalesce(F.sum(_ways("n", 2)), zero).alias("ways")
+        F.coalesce(F.max("n"), F.lit(0)).alias("largest"),
+        F.coalesce(F.sum(ways), zero).alias("key"),
+        F.coalesce(F.sum(F.when(F.col("n") <= hot_at, ways)), zero).alias("ordinary"),
     ).first()
     # an item has as many rows as keys, so each row stands for its part of the combinations
-    by_item = table.rows.agg(F.coalesce(F.sum(_ways("m", min_shared) / F.col("m")), zero).alias("ways")).first()
-    if by_item["ways"] * COMBINATION_COST <= by_key["ways"]:
+    by_item = table.rows.agg(
+        F.coalesce(F.sum(_ways("m", min_shared) / F.col("m")), zero).alias("combination"),
+        F.count("*").alias("rows"),
+    ).first()
+    return by_key.asDict() | by_item.asDict()
+
+
+def _cheaper(sizes: dict[str, float], hot_at: int) -> str:
+    if sizes["combination"] * COMBINATION_COST <= sizes["key"]:
         return "combination"
-    return "ordinary" if by_key["largest"] <= hot_at else "key"
+    return "ordinary" if sizes["largest"] <= hot_at else "key"
+
+
+def _route(table: Incidence, min_shared: int, hot_at: int) -> str:
+    """The cheaper way to the pairs, by the sizes of the groups."""
+    return _cheaper(_sizes(table, min_shared, hot_at), hot_at)
 
 
 def _paired(rows: DataFrame, min_shared: int) -> DataFrame:
@@ -128,23 +143,33 @@ def _pairs_by_key(rows: DataFrame, min_shared: int, hot_at: int) -> DataFrame:
     )
 
 
-def _encoded(df: DataFrame | Incidence, item: str, key: str) -> Incidence:
-    return df if isinstance(df, Incidence) else encode(df, item, key)
+def _encoded(df: DataFrame | Incidence, item: str, key: str, n_rows: int | None = None) -> Incidence:
+    return df if isinstance(df, Incidence) else encode(df, item, key, n_rows)
 
 
-def _strong(table: Incidence, min_shared: int, hot_at: int, route: str | None) -> DataFrame:
-    """``(a, b, n)`` with encoded items."""
+def _strong(
+    table: Incidence,
+    min_shared: int,
+    hot_at: int,
+    route: str | None,
+    finish: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+) -> DataFrame:
+    """``(a, b, n)`` with encoded items, as ``finish`` leaves them, settled."""
     if min_shared < 2:
         raise ValueError("min_shared must be at least 2; see pair_weights")
-    route = route or _route(table, min_shared, hot_at)
+    sizes = _sizes(table, min_shared, hot_at)
+    route = route or _cheaper(sizes, hot_at)
+    # hot keys are no join keys; a row goes to one block at least
+    listed = sizes["combination" if route == "combination" else "ordinary"]
     rows = _paired(table.rows, min_shared)
-    if route == "combination":
-        pairs = _pairs_by_combination(rows, min_shared, hot_at)
-    elif route == "ordinary":
-        pairs = _pairs_by_ordinary_key(rows, hot_at)
-    else:
-        pairs = _pairs_by_key(rows, min_shared, hot_at)
-    return pairs.where(F.col("n") >= min_shared)
+    with shuffles_of(rows.sparkSession, max(listed, sizes["rows"])):
+        if route == "combination":
+            pairs = _pairs_by_combination(rows, min_shared, hot_at)
+        elif route == "ordinary":
+            pairs = _pairs_by_ordinary_key(rows, hot_at)
+        else:
+            pairs = _pairs_by_key(rows, min_shared, hot_at)
+        return settle(finish(pairs.where(F.col("n") >= min_shared)))
 
 
 def _spelled(pairs: DataFrame, table: Incidence) -> DataFrame:
@@ -166,6 +191,7 @@ def shared_pairs(
     hot_at: int = HOT_AT,
     names: tuple[str, str, str] = ("item_1", "item_2", "shared"),
     route: str | None = None,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Pairs of items with at least ``min_shared`` distinct keys in common.
 
@@ -174,13 +200,12 @@ def shared_pairs(
     in every group; :func:`pair_weights` counts those without listing them.
     ``df`` may be a table that :func:`incidence.encode` made, to be used again.
     ``route`` ("combination", "ordinary" or "key") overrides the choice by group sizes.
+    ``n_rows``: about how many rows ``df`` has, if that is known; see :func:`incidence.encode`.
     """
     if min_shared < 2:
         raise ValueError("min_shared must be at least 2; see pair_weights")
-    table = _encoded(df, item, key)
+    table = _encoded(df, item, key, n_rows)
     pairs = _strong(table, min_shared, hot_at, route)
-    if table.items is not None:
-        pairs = settle(pairs)
     return _spelled(pairs, table).toDF(*names)
 
 
@@ -194,7 +219,7 @@ def cooccurrence_pairs(
 ) -> DataFrame:
     """The keys behind each pair of :func:`shared_pairs`, one row per key."""
     table = _encoded(df, item, key)
-    pairs = settle(_strong(table, min_shared, hot_at, None).select("a", "b"))
+    pairs = _strong(table, min_shared, hot_at, None, lambda found: found.select("a", "b"))
     shared = common_keys(pairs, _paired(table.rows, min_shared))
     named = shared.join(table.keys.select("key", "value"), "key").select("a", "b", "value")
     return _spelled(named, table).toDF(*names)
@@ -218,9 +243,10 @@ def pair_weights(
     total over all pairs of their weights, and the heavier pairs are known.
     """
     table = _encoded(df, item, key)
-    strong = settle(
-        _strong(table, 2, hot_at, None).groupBy(F.col("n").alias("weight")).agg(F.count("*").alias("n"))
-    )
+    strong = _strong(
+        table, 2, hot_at, None,
+        lambda found: found.groupBy(F.col("n").alias("weight")).agg(F.count("*").alias("n")),
+    )
     d = F.col("n").cast("decimal(38,0)")
     total = table.keys.agg(F.sum((d * (d - 1)).cast("decimal(38,0)")).alias("n")).select(
         F.lit(1).cast("long").alias("weight"), F.expr("n div 2").alias("n")

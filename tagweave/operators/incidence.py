@@ -1,6 +1,6 @@
 """Who has which key, encoded once, and pairs within groups of any size.
 
-``encode`` reads its input once. What it settles holds 64-bit ids in place of keys (and of items,
+``encode`` reads its input once and shuffles in as many tasks as its rows ask for. What it settles holds 64-bit ids in place of keys (and of items,
 unless they are integers), each row once, with the size of its key's group carried along, so
 nothing that follows touches a raw phrase, counts groups again or asks for a broadcast.
 
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.operators.lineage import discard, settle
+from tagweave.operators.lineage import discard, settle, shuffles_of
 
 BLOCK = 1000
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
@@ -41,28 +41,38 @@ def _numbered(rows: DataFrame, col: str, size: str) -> DataFrame:
     return settle(counted.withColumn("id", F.monotonically_increasing_id()))
 
 
-def encode(df: DataFrame, item: str, key: str) -> Incidence:
-    """Null items are left out, a null key is a key like others."""
-    pairs = df.select(F.col(item).alias("item"), F.col(key).alias("key"))
-    raw = settle(pairs.where(F.col("item").isNotNull()).distinct())
-    keys = _numbered(raw, "key", "n")
-    # few distinct keys are broadcast by the planner, many are joined by shuffle
-    rows = raw.join(keys, F.col("key").eqNullSafe(F.col("value"))).select(
-        "item", F.col("id").alias("key"), "n"
-    )
-    plain = dict(raw.dtypes)["item"] in _INTEGERS
-    if plain:
-        sizes = raw.groupBy("item").agg(F.count("*").alias("m"))
-        rows = rows.join(sizes, "item")
-        items = None
-    else:
-        items = _numbered(raw, "item", "m")
-        rows = rows.join(items, F.col("item") == F.col("value")).select(
-            F.col("id").alias("item"), "key", "n", "m"
+def encode(df: DataFrame, item: str, key: str, n_rows: int | None = None) -> Incidence:
+    """Null items are left out, a null key is a key like others.
+
+    ``n_rows`` is about how many rows ``df`` has. Unless the caller knows, ``df`` is written once
+    as it comes, for the number of tasks that follows.
+    """
+    given = df.select(F.col(item).alias("item"), F.col(key).alias("key")).where(F.col("item").isNotNull())
+    if n_rows is None:
+        given = settle(given)
+        n_rows = given.count()
+    with shuffles_of(df.sparkSession, n_rows):
+        # dealt before rows are told apart: a file's part may be more than a task should hold
+        raw = settle(given.repartition("item", "key").distinct())
+        discard(given)
+        keys = _numbered(raw, "key", "n")
+        # few distinct keys are broadcast by the planner, many are joined by shuffle
+        rows = raw.join(keys, F.col("key").eqNullSafe(F.col("value"))).select(
+            "item", F.col("id").alias("key"), "n"
         )
-        items = items.select(F.col("id").alias("item"), "value")
-    rows = settle(rows.select("item", "key", "n", "m"))
-    discard(raw)
+        plain = dict(raw.dtypes)["item"] in _INTEGERS
+        if plain:
+            sizes = raw.groupBy("item").agg(F.count("*").alias("m"))
+            rows = rows.join(sizes, "item")
+            items = None
+        else:
+            items = _numbered(raw, "item", "m")
+            rows = rows.join(items, F.col("item") == F.col("value")).select(
+                F.col("id").alias("item"), "key", "n", "m"
+            )
+            items = items.select(F.col("id").alias("item"), "value")
+        rows = settle(rows.select("item", "key", "n", "m"))
+        discard(raw)
     return Incidence(rows, keys.select(F.col("id").alias("key"), "value", "n"), items)
 
 
@@ -129,8 +139,9 @@ def combinations(rows: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
 def pairs_by_combination(rows: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
     """``(a, b, meetings)``: in how many groups of ``size`` common keys two items meet.
 
-    Most combinations have up to three items. Their count, ends and checksum are combined before the
-    shuffle and already are the answer; only members of larger groups are listed and paired in blocks.
+    Most combinations have up to three items. Their count, ends and checksum already are the answer;
+    only members of larger groups are listed and paired in blocks. Nearly all combinations occur once, so
+    plain rows are dealt, which are half as wide as those sums.
     """
     if size == 2:
         by = ["k1", "k2"]
@@ -138,7 +149,7 @@ def pairs_by_combination(rows: DataFrame, size: int, block: int = BLOCK) -> Data
     else:
         by = ["combo"]
         combos = combinations(rows, size, block).select("item", "combo")
-    sizes = combos.groupBy(*by).agg(
+    sizes = combos.repartition(*by).groupBy(*by).agg(
         F.count("*").alias("d"),
         F.min("item").alias("a"),
         F.max("item").alias("b"),

@@ -45,15 +45,17 @@ def paper_pairs(
     stop: Sequence[str] | DataFrame = STOP_KEYWORDS,
     min_shared: int = 2,
     hot_at: int = HOT_AT,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Papers sharing at least ``min_shared`` keywords.
 
-    The stop list applies before the join: its keywords are the hottest ones.
+    The stop list applies before the join: its keywords are the hottest ones. Here and below
+    ``n_rows`` is about how many rows ``keywords`` has, if known.
     """
     kept = drop_stop_keywords(keywords, stop)
     return shared_pairs(
         kept, REPORT, "new_label", min_shared, hot_at,
-        ("paper_1", "paper_2", "shared_keywords"),
+        ("paper_1", "paper_2", "shared_keywords"), n_rows=n_rows,
     )
 
 
@@ -64,9 +66,10 @@ def theme_edges(
     stop: Sequence[str] | DataFrame = STOP_KEYWORDS,
     min_shared: int = 2,
     hot_at: int = HOT_AT,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Paper pairs with both papers' themes, where either side has ``theme``."""
-    pairs = paper_pairs(keywords, stop, min_shared, hot_at)
+    pairs = paper_pairs(keywords, stop, min_shared, hot_at, n_rows)
     edges = with_endpoint_attrs(pairs, catalogue, REPORT, "new_theme")
     return edges if theme is None else touching(edges, theme)
 
@@ -78,6 +81,7 @@ def paper_graph(
     stop: Sequence[str] | DataFrame = STOP_KEYWORDS,
     min_shared: int = 2,
     hot_at: int = HOT_AT,
+    n_rows: int | None = None,
 ) -> Graph:
     """The enriched paper network.
 
@@ -85,7 +89,7 @@ def paper_graph(
     report (``new_theme`` and any further attributes). Nodes get community,
     betweenness, degree, the attributes and their first three keywords.
     """
-    edges = theme_edges(keywords, catalogue, theme, stop, min_shared, hot_at)
+    edges = theme_edges(keywords, catalogue, theme, stop, min_shared, hot_at, n_rows)
     graph = build_graph(settle(edges))
     links = settle(graph.edges)
     ends = links.select("src", "dst")
@@ -111,11 +115,12 @@ def keyword_graph(
     min_n: int = 4,
     stop: Sequence[str] | DataFrame = STOP_KEYWORDS,
     hot_at: int = HOT_AT,
+    n_rows: int | None = None,
 ) -> Graph:
     """Keywords as nodes, linked if at least ``min_n`` papers carry both."""
     pairs = shared_pairs(
         drop_stop_keywords(keywords, stop), "new_label", REPORT, min_n, hot_at,
-        ("keyword_1", "keyword_2", "n"),
+        ("keyword_1", "keyword_2", "n"), n_rows=n_rows,
     )
     return build_graph(settle(pairs), "keyword_1", "keyword_2")
 

@@ -225,6 +225,7 @@ def theme_edges(spark, d):
         tables.reports(spark, d),
         tables.THEME,
         tables.STOP,
+        n_rows=_n_lines(spark, d),
     )
 
 
@@ -233,17 +234,28 @@ def first_keywords(spark, d):
     return ranking.first_n_keywords(_kept(spark, d))
 
 
+def _n_lines(spark, d):
+    """Rows of ``line_keywords``, as the files tell."""
+    return tables.table(spark, d, "lineitem").count()
+
+
 @query
 def keyword_pairs(spark, d):
     return cooccur.shared_pairs(
         tables.line_keywords(spark, d), "new_label", REPORT,
-        names=("keyword_1", "keyword_2", "n"),
+        names=("keyword_1", "keyword_2", "n"), n_rows=_n_lines(spark, d),
     )
 
 
+def _keyword_graph(spark, d):
+    return networks.keyword_graph(
+        tables.line_keywords(spark, d), 2, tables.STOP, n_rows=_n_lines(spark, d)
+    )
+
+
 @query
 def keyword_graph(spark, d):
-    return networks.keyword_graph(tables.line_keywords(spark, d), 2, tables.STOP).edges
+    return _keyword_graph(spark, d).edges
 
 
 def _prepared(spark, d):
@@ -501,8 +513,7 @@ def community(spark, d):
 @query
 def keyword_community(spark, d):
     """Communities of part labels that share orders."""
-    g = networks.keyword_graph(tables.line_keywords(spark, d), 2, tables.STOP)
-    found = communities.greedy_communities(g.edges)
+    found = communities.greedy_communities(_keyword_graph(spark, d).edges)
     return communities.number_communities(found)
 
 
@@ -519,5 +530,6 @@ def paper_graph(spark, d):
         tables.reports(spark, d),
         tables.THEME,
         tables.STOP,
+        n_rows=_n_lines(spark, d),
     )
     return g.nodes.drop("community").withColumn("betweenness", F.round("betweenness", 6))

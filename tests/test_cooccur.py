@@ -196,3 +196,21 @@ def test_input_is_read_once(spark, skewed, tmp_path):
     spark.createDataFrame(skewed, "item long, key string").write.parquet(f"{tmp_path}/in")
     found = cooccur.shared_pairs(spark.read.parquet(f"{tmp_path}/in"), "item", "key")
     assert f"{tmp_path}/in" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Pairs are dealt over more tasks than the session's four where they are many."""
+    from tagweave.operators import lineage
+
+    monkeypatch.setattr(lineage, "ROWS_PER_TASK", 100, raising=False)
+    settings = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(s) for s in settings]
+    rows = [(i, i * 7 % 60 + j) for i in range(400) for j in range(3)]
+    df = spark.createDataFrame(rows, "item long, key long")
+    table = encode(df, "item", "key")
+    for route in ("combination", "ordinary"):
+        found = cooccur.shared_pairs(table, hot_at=25, route=route)
+        assert len(found.inputFiles()) > 4
+        assert as_dict(found) == brute_force(rows, 2)
+    assert as_dict(cooccur.shared_pairs(df, "item", "key", n_rows=1000)) == brute_force(rows, 2)
+    assert [spark.conf.get(s) for s in settings] == before
