@@ -3,7 +3,8 @@
 Labels repeat; their forms depend on nothing but the label. So the distinct labels are
 collected with ids and counts, every transformation runs once per label, and
 the finished forms are joined back to the reports. Both stages that
-are written, lemmas and stems, come from that one pass.
+are written, lemmas and stems, come from that one pass. Who only asks which reports share stems
+joins numbers back instead of spelled forms.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import (
@@ -34,16 +35,23 @@ class Prepared:
     """``vocabulary``: (id, label, n_reports, new_label, stemmed_version), one row per label.
 
     ``stems``: the catalogue's columns without the raw strings, one row per report and label, with
-    ``new_theme`` and the forms.
+    ``new_theme`` and the forms. ``labels``: the same rows before the forms are joined, settled.
     """
 
     vocabulary: DataFrame
     stems: DataFrame
+    labels: DataFrame
 
     @property
     def lemmas(self) -> DataFrame:
         return self.stems.drop("stemmed_version")
 
+    def stem_ids(self, report: str) -> DataFrame:
+        """``(report, stem_id)``, one row per report and label; labels with one stem have one id."""
+        same = Window.partitionBy("stemmed_version")
+        ids = settle(self.vocabulary.select("label", F.min("id").over(same).alias("stem_id")))
+        return self.labels.select(report, "label").join(ids, "label").select(report, "stem_id")
+
     @property
     def nodes(self) -> DataFrame:
         """Keyword nodes: ``id``, ``nodes``, ``n_reports`` and a singular ``label``."""
@@ -83,12 +91,13 @@ def prepare_report_keywords(
     Reports without keywords have no rows. A label that very many reports carry is one row of
     the vocabulary; the join back splits it (AQE) where the vocabulary is not broadcast.
     """
-    exploded = explode_keywords(catalogue, keywords).drop(keywords)
+    # building the catalogue can be a long job of its own
+    exploded = settle(explode_keywords(catalogue, keywords).drop(keywords))
     formed = settle(label_forms(vocabulary_of(exploded), lemmas, synonyms, whole_word))
     stems = exploded.join(formed.select("label", *FORMS), "label")
     if theme in catalogue.columns:
         stems = stems.withColumn("new_theme", first_token(F.col(theme)))
-    return Prepared(formed, stems)
+    return Prepared(formed, stems, exploded)
 
 
 def write_prepared(prepared: Prepared, path: str, fmt: str = "parquet", mode: str = "error") -> None:

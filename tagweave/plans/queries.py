@@ -14,7 +14,7 @@ from tagweave.operators.betweenness import betweenness as node_betweenness
 from tagweave.operators.components import connected_components
 from tagweave.operators.flow import code_length as walk_code_length
 from tagweave.operators.flow import flow_communities
-from tagweave.operators.lineage import settle, shared_folder
+from tagweave.operators.lineage import settle, shared_folder, shuffles_of
 from tagweave.plans import networks, tables
 from tagweave.plans.preparation import prepare_report_keywords
 from tagweave.sources import read_quoted_csv, writers
@@ -276,8 +276,11 @@ def prepared_nodes(spark, d):
 @query
 def prepared_pairs(spark, d):
     """From raw strings to orders that share two prepared keywords."""
+    n_rows = _n_lines(spark, d)
+    with shuffles_of(spark, n_rows):
+        stems = _prepared(spark, d).stem_ids(REPORT)
     return cooccur.shared_pairs(
-        _prepared(spark, d).stems, REPORT, "stemmed_version", names=(*PAIR, "shared_keywords")
+        stems, REPORT, "stem_id", names=(*PAIR, "shared_keywords"), n_rows=n_rows
     )
 
 

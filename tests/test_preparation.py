@@ -91,3 +91,18 @@ def test_medians(spark):
     want = {k: statistics.median([v for v in vs if v is not None]) if any(v is not None for v in vs) else None for k, vs in groups.items()}
     assert {r["k"]: r["median"] for r in ranking.medians(df, "k", "v").collect()} == want
     assert ranking.medians(df.where("false"), "k", "v").isEmpty()
+
+
+def test_stems_are_numbered_and_the_catalogue_read_once(spark, catalogue, tmp_path):
+    catalogue.write.parquet(f"{tmp_path}/raw")
+    done = preparation.prepare_report_keywords(spark.read.parquet(f"{tmp_path}/raw"))
+    assert f"{tmp_path}/raw" not in done.stems._jdf.queryExecution().executedPlan().toString()
+    numbered = done.stem_ids("report_note_number").collect()
+    spelled = done.stems.select("report_note_number", "stemmed_version").collect()
+    groups = []
+    for rows in (numbered, spelled):
+        held = {}
+        for report, stem in rows:
+            held.setdefault(stem, []).append(report)
+        groups.append(sorted(map(sorted, held.values())))
+    assert groups[0] == groups[1]
