@@ -19,7 +19,8 @@ Work is dealt out by word: all contexts of a word are in one part, and the numbe
 bytes of text (``PART_BYTES`` each). Words that would outweigh a part (a
 bounded number, found in a pass before) are dealt out by word and context, and their
 sums are exchanged. Between sweeps the parts exchange only totals: one number per context class and per such
-word. Draws depend on the word, the context and the sweep, so lost parts are recomputed alike.
+word. A chunk of documents asks each part for the distinct (word, context) it has, and gets their scores back in
+the same order: what is sent follows the chunk's keys, however many parts there are. Draws depend on the word, the context and the sweep, so lost parts are recomputed alike.
 
 Words are 64-bit hashes. Rows are kept apart, not ids: repeated rows are scored each.
 Null texts are empty (one end token). Null ids count as the empty text when crc32 decides
@@ -50,10 +51,10 @@ BURN_IN = 1
 SAMPLES = 3
 EXACT = 64
 FOLDS, HELD_OUT = 5, 1
-CHUNK_TOKENS = 1 << 18
+CHUNK_TOKENS = 1 << 19
 CHUNK_DOCS = 1 << 16  # a document's place in its chunk has 16 bits
 REMEMBERED = 100_000
-PART_BYTES = 2 << 20
+PART_BYTES = 8 << 20
 END = xxhash.xxh64_intdigest(b" ")  # no word has a space
 
 
@@ -131,32 +132,52 @@ def _part_of(words: np.ndarray, contexts: np.ndarray, heavy: np.ndarray, parts:
     return ((mixed & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
 
 
-COUNTED = "part long, chunk long, words binary, word_keys binary, contexts binary, n binary, train binary, docs binary"
-BLOB_NAMES = ["words", "word_keys", "contexts", "n", "train", "docs"]
+# a cell: what a chunk has of a part; with a negative part: the documents of a chunk
+COUNTED = (
+    "part long, chunk long, words binary, word_keys binary, contexts binary, train binary, "
+    "ids binary, sizes binary, held binary, nulls binary, n binary, docs binary"
+)
+CHUNK_COLUMNS = ["chunk", "word_keys", "ids", "sizes", "held", "nulls", "n", "docs"]
 
 
-def _count_chunks(heavy: np.ndarray, parts: int):
-    """Per chunk and part its distinct (word, context), their counts and documents.
+def pack(x: np.ndarray) -> bytes:
+    """The length and the first bytes of all numbers, then the second bytes and so on, compressed.
 
-    Rows with a negative part describe the chunk's documents.
+    What is sent are counts and places: mostly small, so that all but the first bytes vanish.
     """
-    names = ["part", "chunk", *BLOB_NAMES]
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return np.int64(len(x)).tobytes() + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
-    def row(part: int, chunk: int, *blobs: np.ndarray) -> pa.RecordBatch:
-        values = [part, chunk, *(b.tobytes() for b in blobs)]
-        kinds = [pa.int64()] * 2 + [pa.binary()] * 6
-        return pa.RecordBatch.from_arrays(
-            [pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names
-        )
+
+def unpack(blob: bytes, kind: type) -> np.ndarray:
+    kind = np.dtype(kind)
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    planes = pa.Codec("zstd").decompress(blob[8:], n * kind.itemsize, asbytes=True)
+    values = np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T
+    return np.ascontiguousarray(values).view(kind).reshape(n)
+
+
+def _row(schema: str, **values) -> pa.RecordBatch:
+    """One row; arrays are packed, columns not given are null."""
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    blobs = {k: pack(v) if isinstance(v, np.ndarray) else v for k, v in values.items()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array([blobs.get(name)], kinds[kind]) for name, kind in fields], names=[f[0] for f in fields]
+    )
+
+
+def _count_chunks(heavy: np.ndarray, parts: int):
+    """Per chunk and part its distinct (word, context) and their training counts.
+
+    One more row per chunk has its documents: ``n`` tokens of each key, and every token's document.
+    Both are in the order of part, word and context, in which the parts answer.
+    """
 
     def run(batches):
         chunk = task_number() << 24
         for ids, sizes, tokens in _chunks(batches):
             held = np.array([is_held_out(d) for d in ids])
-            null = np.array([d is None for d in ids])
-            numbers = np.array([0 if d is None else d for d in ids], np.int64)
-            none = np.array([], bool)
-            yield row(-1 - chunk, chunk, numbers, none, sizes.astype(np.int64), held, null, none)
             docs = np.repeat(np.arange(len(ids)), sizes)
             before = np.empty_like(tokens)
             before[1:] = tokens[:-1]
@@ -171,74 +192,82 @@ def _count_chunks(heavy: np.ndarray, parts: int):
             train = np.add.reduceat(~held[docs], first, dtype=np.int64)
             keys = keys[first]
             key_words, key_contexts = words[keys >> CONTEXT_BITS], keys & (CONTEXTS - 1)
-            part = _part_of(key_words, key_contexts, heavy, parts)
+            part = _part_of(key_words, key_contexts, heavy, parts).astype(np.min_scalar_type(parts))
+            token_order = np.argsort(np.repeat(part, n), kind="stable")
             order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            token_part = np.repeat(part, n)
-            token_order = np.argsort(token_part, kind="stable")
-            token_bounds = np.searchsorted(token_part[token_order], np.arange(parts + 1))
-            for p in range(parts):
-                k = order[bounds[p] : bounds[p + 1]]
-                if len(k):
-                    t = token_order[token_bounds[p] : token_bounds[p + 1]]
-                    own, own_keys = np.unique(key_words[k], return_counts=True)
-                    yield row(
-                        p,
-                        chunk,
-                        own,
-                        own_keys.astype(np.uint32),
-                        key_contexts[k].astype(np.uint16),
-                        n[k].astype(np.uint32),
-                        train[k].astype(np.uint32),
-                        docs[t].astype(np.uint16),
-                    )
+            part, key_words, key_contexts, train = part[order], key_words[order], key_contexts[order], train[order]
+            is_new = np.append(True, (part[1:] != part[:-1]) | (key_words[1:] != key_words[:-1]))
+            starts = np.flatnonzero(is_new)
+            word_keys = np.diff(np.append(starts, len(part))).astype(np.uint32)
+            bounds = np.searchsorted(part, np.arange(parts + 1))
+            word_bounds = np.searchsorted(starts, bounds)
+            for p in np.unique(part).tolist():
+                k = slice(bounds[p], bounds[p + 1])
+                w = slice(word_bounds[p], word_bounds[p + 1])
+                yield _row(
+                    COUNTED,
+                    part=p,
+                    chunk=chunk,
+                    words=key_words[starts[w]],
+                    word_keys=word_keys[w],
+                    contexts=key_contexts[k].astype(np.uint16),
+                    train=train[k].astype(np.uint32),
+                )
+            yield _row(
+                COUNTED,
+                part=-1 - chunk,
+                chunk=chunk,
+                word_keys=word_keys,
+                ids=np.array([0 if d is None else d for d in ids], np.int64),
+                sizes=sizes.astype(np.int64),
+                held=held,
+                nulls=np.array([d is None for d in ids]),
+                n=n[order].astype(np.uint32),
+                docs=docs[token_order].astype(np.uint16),
+            )
             chunk += 1
 
     return run
 
 
-MODEL = (
-    "part long, words binary, word_keys binary, contexts binary, train binary, "
-    "chunks binary, key_index binary, n binary, docs binary"
-)
+MODEL = COUNTED + ", chunks binary, key_index binary"
 
 
 def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row for a part: its keys by word and context, and each chunk's tokens."""
-    pdf = pdf.sort_values("chunk")
+    """One row for a part: its keys by word and context, and which of them each chunk has.
+
+    Places of a chunk's keys are ascending and given by their differences. Rows of documents stay.
+    """
+    names = [c.split()[0] for c in MODEL.split(", ")]
     part = int(pdf["part"].iloc[0])
     if part < 0:
-        first = pdf.iloc[0]
-        return pd.DataFrame(
-            [[part, first.words, first.contexts, first.n, first.train, np.int64(first.chunk).tobytes(), b"", b"", b""]],
-            columns=[c.split()[0] for c in MODEL.split(", ")],
-        )
-    column = lambda c, kind: [np.frombuffer(b, kind) for b in pdf[c]]
+        return pdf.assign(chunks=None, key_index=None)[names]
+    pdf = pdf.sort_values("chunk")
+    column = lambda c, kind: [unpack(b, kind) for b in pdf[c]]
     words = np.repeat(
         np.concatenate(column("words", np.uint64)), np.concatenate(column("word_keys", np.uint32))
     )
-    contexts = np.concatenate(column("contexts", np.uint16))
-    sizes = [len(x) for x in column("contexts", np.uint16)]
+    contexts = column("contexts", np.uint16)
+    sizes = np.array([len(x) for x in contexts])
     known, number = np.unique(words, return_inverse=True)
-    keys, index = np.unique((number << CONTEXT_BITS) | contexts, return_inverse=True)
+    del words
+    keys, index = np.unique((number << CONTEXT_BITS) | np.concatenate(contexts), return_inverse=True)
+    del number, contexts
     train = np.bincount(index, np.concatenate(column("train", np.uint32)), len(keys))
-    chunks = np.array([pdf["chunk"].to_numpy(), sizes], np.int64)
-    return pd.DataFrame(
-        [
-            [
-                part,
-                known.tobytes(),
-                np.bincount(keys >> CONTEXT_BITS, minlength=len(known)).astype(np.uint32).tobytes(),
-                (keys & (CONTEXTS - 1)).astype(np.uint16).tobytes(),
-                train.astype(np.uint32).tobytes(),
-                chunks.tobytes(),
-                index.astype(np.uint32).tobytes(),
-                b"".join(pdf["n"]),
-                b"".join(pdf["docs"]),
-            ]
-        ],
-        columns=[c.split()[0] for c in MODEL.split(", ")],
-    )
+    steps = np.diff(index, prepend=0)
+    at = np.cumsum(sizes) - sizes
+    steps[at] = index[at]
+    row = {
+        "part": part,
+        "chunk": -1,
+        "words": pack(known),
+        "word_keys": pack(np.bincount(keys >> CONTEXT_BITS, minlength=len(known)).astype(np.uint32)),
+        "contexts": pack((keys & (CONTEXTS - 1)).astype(np.uint16)),
+        "train": pack(train.astype(np.uint32)),
+        "chunks": pack(np.concatenate([pdf["chunk"].to_numpy(), sizes]).astype(np.int64)),
+        "key_index": pack(steps.astype(np.uint32)),
+    }
+    return pd.DataFrame([[row.get(c) for c in names]], columns=names)
 
 
 def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
@@ -303,6 +332,12 @@ class Totals:
         self.roots = roots  # tables of the unigram restaurant
 
 
+def _unpacked(row: dict) -> dict:
+    """A row of the model for ``Part``."""
+    kinds = {"words": np.uint64, "word_keys": np.uint32, "contexts": np.uint16, "train": np.uint32}
+    return row | {c: unpack(row[c], kind) for c, kind in kinds.items()}
+
+
 class Part:
     """The keys of a part and their seating, sweep by sweep."""
 
@@ -377,7 +412,7 @@ def _sum_parts(model: dict, history: list[tuple[Totals, np.ndarray]]):
         contexts = np.zeros((2, CONTEXTS), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                part = Part({c: batch.column(c)[i].as_py() for c in KEY_COLUMNS}, model)
+                part = Part(_unpacked({c: batch.column(c)[i].as_py() for c in KEY_COLUMNS}), model)
                 for number, (totals, heavy_roots) in enumerate(history):
                     part.sweep(number, totals, heavy_roots)
                 some = ~part.heavy
@@ -453,28 +488,17 @@ def train(keys: DataFrame, heavy: np.ndarray) -> tuple[dict, list[tuple[Totals,
     return model, history
 
 
-SCORES = "chunk long, sizes binary, ids binary, held binary, nulls binary, docs binary, known binary, base binary, score binary"
+SCORES = "part long, chunk long, counts binary, scores binary"
 
 
 def _score_part(model: dict, history: list[tuple[Totals, np.ndarray]]):
-    """Sums per document of each chunk, from the tokens of a part."""
-    names = [c.split()[0] for c in SCORES.split(", ")]
-
-    def row(*values) -> pa.RecordBatch:
-        kinds = [pa.int64()] + [pa.binary()] * 8
-        return pa.RecordBatch.from_arrays(
-            [pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names
-        )
+    """For each chunk the counts of its words in a part and the scores of its keys."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                if r["part"] < 0:
-                    chunk = int(np.frombuffer(r["chunks"], np.int64)[0])
-                    yield row(chunk, r["word_keys"], r["words"], r["contexts"], r["train"], None, None, None, None)
-                    continue
-                part = Part(r, model)
+                part = Part(_unpacked(r), model)
                 mean = np.zeros(len(part.c))
                 for number in range(len(history)):
                     totals, heavy_roots = history[number]
@@ -485,30 +509,14 @@ def _score_part(model: dict, history: list[tuple[Totals, np.ndarray]]):
                 score = np.log10(mean / (len(history) - 1 - BURN_IN))
                 count = part.count.copy()
                 count[part.heavy] = model["heavy_counts"][part.heavy_at]
-                known = (count > 0)[part.word]
-                base = np.log10(count + 0.5)[part.word]
-                index = np.frombuffer(r["key_index"], np.uint32)
-                n = np.frombuffer(r["n"], np.uint32)
-                docs = np.frombuffer(r["docs"], np.uint16)
-                numbers, sizes = np.frombuffer(r["chunks"], np.int64).reshape(2, -1)
+                steps = unpack(r["key_index"], np.uint32)
+                numbers, sizes = unpack(r["chunks"], np.int64).reshape(2, -1)
                 ends = np.cumsum(sizes)
-                token_ends = np.append(0, np.cumsum(n, dtype=np.int64))[ends]
-                at = token_at = 0
-                for chunk, end, token_end in zip(numbers.tolist(), ends.tolist(), token_ends.tolist(), strict=True):
-                    k = np.repeat(index[at:end], n[at:end])
-                    own, d = np.unique(docs[token_at:token_end], return_inverse=True)
-                    yield row(
-                        chunk,
-                        None,
-                        None,
-                        None,
-                        None,
-                        own.tobytes(),
-                        np.bincount(d, known[k]).astype(np.uint32).tobytes(),
-                        np.bincount(d, base[k]).tobytes(),
-                        np.bincount(d, score[k]).tobytes(),
-                    )
-                    at, token_at = end, token_end
+                for chunk, end, size in zip(numbers.tolist(), ends.tolist(), sizes.tolist(), strict=True):
+                    k = np.cumsum(steps[end - size : end], dtype=np.int64)
+                    word = part.word[k]
+                    own = word[np.flatnonzero(np.diff(word, prepend=-1))]
+                    yield _row(SCORES, part=part.number, chunk=chunk, counts=count[own], scores=score[k])
 
     return run
 
@@ -520,31 +528,34 @@ RESULT = (
 
 
 def _add_up(train_tokens: int, known: int):
-    """The rows of a chunk's documents, from the sums of all parts."""
+    """The rows of a chunk's documents, from the answers of all parts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf[pdf["ids"].notna()].iloc[0]
-        ids = np.frombuffer(head.ids, np.int64)
-        sizes = np.frombuffer(head.sizes, np.int64)
-        sums = {"known": np.zeros(len(ids)), "base": np.zeros(len(ids)), "score": np.zeros(len(ids))}
-        parts = pdf[pdf["base"].notna()]
-        # in a fixed order, so that sums of doubles agree between runs
-        for *r, own in sorted(zip(parts["base"], parts["score"], parts["known"], parts["docs"], strict=True)):
-            own = np.frombuffer(own, np.uint16)
-            for name, blob, kind in zip(("base", "score", "known"), r, (float, float, np.uint32), strict=True):
-                sums[name][own] += np.frombuffer(blob, kind)
+        ids, sizes = unpack(head.ids, np.int64), unpack(head.sizes, np.int64)
+        docs, n = unpack(head.docs, np.uint16), unpack(head.n, np.uint32)
+        word_keys = unpack(head.word_keys, np.uint32)
+        # in the order of the chunk's keys, so that sums of doubles agree between runs
+        cells = pdf[pdf["part"].notna()].sort_values("part")
+        count = np.concatenate([unpack(b, np.int64) for b in cells["counts"]])
+        score = np.concatenate([unpack(b, np.float64) for b in cells["scores"]])
+
+        def per_doc(keys: np.ndarray) -> np.ndarray:
+            return np.bincount(docs, np.repeat(keys, n), len(ids))
+
+        base = per_doc(np.repeat(np.log10(count + 0.5), word_keys))
         out = pd.DataFrame(
             {
                 "doc_id": pd.array(ids, "Int64"),
-                "held_out": np.frombuffer(head.held, bool),
+                "held_out": unpack(head.held, bool),
                 "n_tokens": sizes,
-                "n_known": sums["known"].astype(np.int64),
+                "n_known": per_doc(np.repeat(count > 0, word_keys)).astype(np.int64),
                 "train_tokens": train_tokens,
-                "base_score": sums["base"] - sizes * np.log10(train_tokens + 0.5 * (known + 1)),
-                "score": sums["score"],
+                "base_score": base - sizes * np.log10(train_tokens + 0.5 * (known + 1)),
+                "score": per_doc(score),
             }
         )
-        out.loc[np.frombuffer(head.nulls, bool), "doc_id"] = pd.NA
+        out.loc[unpack(head.nulls, bool), "doc_id"] = pd.NA
         return out
 
     return run
@@ -568,7 +579,9 @@ def score_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
         .groupBy("part")
         .applyInPandas(_merge_part, MODEL)
     )
-    keys = model_table.where(F.col("part") >= 0).select(KEY_COLUMNS)
-    model, history = train(keys, heavy)
-    sums = model_table.mapInArrow(_score_part(model, history), SCORES)
-    return sums.groupBy("chunk").applyInPandas(_add_up(model["train_tokens"], model["known"]), RESULT)
+    keys = model_table.where(F.col("part") >= 0)
+    model, history = train(keys.select(KEY_COLUMNS), heavy)
+    answers = keys.select(*KEY_COLUMNS, "chunks", "key_index").mapInArrow(_score_part(model, history), SCORES)
+    chunks = model_table.where(F.col("part") < 0).select(CHUNK_COLUMNS)
+    gathered = answers.unionByName(chunks, allowMissingColumns=True)
+    return gathered.groupBy("chunk").applyInPandas(_add_up(model["train_tokens"], model["known"]), RESULT)

@@ -459,6 +459,37 @@ def test_language_model(docs):
     assert sum(r.score for r in other) == pytest.approx(sum(r.score for r in got))
 
 
+def test_language_model_sends_each_key_once_however_many_parts(spark, docs):
+    """A chunk's documents and the scores of its keys do not get longer with the number of parts."""
+    lm = language_model
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    heavy = np.array([], np.uint64)
+    sent = {}
+    for parts in (1, 40):
+        model = texts.coalesce(1).mapInArrow(lm._count_chunks(heavy, parts), lm.COUNTED).groupBy("part")
+        model = model.applyInPandas(lm._merge_part, lm.MODEL).cache()
+        (chunk,) = model.where("part < 0").collect()
+        keys = model.where("part >= 0")
+        constants, history = lm.train(keys.select(lm.KEY_COLUMNS), heavy)
+        names = [*lm.KEY_COLUMNS, "chunks", "key_index"]
+        cells = keys.select(names).mapInArrow(lm._score_part(constants, history), lm.SCORES).collect()
+        numbers = [len(lm.unpack(r.scores, np.float64)) for r in cells]
+        sent[parts] = sum(numbers), len(lm.unpack(chunk.docs, np.uint16)), len(lm.unpack(chunk.n, np.uint32))
+        assert len(cells) > parts / 2
+        model.unpersist()
+    assert sent[1] == sent[40] and sent[1][0] == sent[1][2]
+    base = lambda parts: sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lm.score_texts(docs, parts).collect())
+    assert base(1) == base(40)
+
+
+def test_packed_numbers():
+    for kind, most in ((bool, 2), (np.uint16, 1 << 16), (np.uint32, 9), (np.int64, 1 << 40), (np.uint64, 1 << 63)):
+        x = np.random.default_rng(1).integers(0, most, 1000, dtype=np.uint64).astype(kind)
+        assert (language_model.unpack(language_model.pack(x), kind) == x).all()
+        assert (language_model.unpack(language_model.pack(x[:1]), kind) == x[:1]).all()
+    assert len(language_model.pack(np.ones(1000, np.uint32))) < 100
+
+
 def test_model_probabilities_sum_to_one():
     """Over all known words and the unknown one, in a context."""
     rng = np.random.default_rng(3)
