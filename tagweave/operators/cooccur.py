@@ -206,7 +206,10 @@ def shared_pairs(
         raise ValueError("min_shared must be at least 2; see pair_weights")
     table = _encoded(df, item, key, n_rows)
     pairs = _strong(table, min_shared, hot_at, route)
-    return _spelled(pairs, table).toDF(*names)
+    found = _spelled(pairs, table).toDF(*names)
+    if table.items is None:
+        found.settled_path = pairs.settled_path
+    return found
 
 
 def cooccurrence_pairs(
@@ -285,7 +288,7 @@ def with_endpoint_attrs(
 
     An endpoint with several values multiplies its edges, one without gets null.
     """
-    edges = settle(edges)
+    edges = edges if hasattr(edges, "settled_path") else settle(edges)
     # only the endpoints' attributes are sorted out, not those of the whole table
     needed = edges.select(F.explode(F.array(*ends)).alias("_id"))
     lookup = settle(

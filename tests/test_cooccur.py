@@ -214,3 +214,34 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
         assert as_dict(found) == brute_force(rows, 2)
     assert as_dict(cooccur.shared_pairs(df, "item", "key", n_rows=1000)) == brute_force(rows, 2)
     assert [spark.conf.get(s) for s in settings] == before
+
+
+def test_joins_of_small_parts_are_hashed(spark):
+    """Within ``shuffles_of`` no side is sorted for a join of which one has small parts; afterwards all is as before."""
+    from tagweave.operators.lineage import shuffles_of
+
+    names = ("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(s) for s in (*names, "spark.sql.shuffle.partitions")]
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(3000).selectExpr("id AS item", "if(id % 9 = 0, null, concat('k', id % 50)) AS key")
+        sizes = rows.groupBy(F.col("key").alias("value")).agg(F.count("*").alias("n"))
+        with shuffles_of(spark, 3000):
+            joined = rows.join(sizes, F.col("key").eqNullSafe(F.col("value")))
+            assert {(r.key, r.n) for r in joined.collect()} == {(r.value, r.n) for r in sizes.collect()}
+            plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert [spark.conf.get(s) for s in (*names, "spark.sql.shuffle.partitions")] == before
+
+
+def test_settled_pairs_are_not_written_again(spark, monkeypatch):
+    rows = [(i, i * 7 % 60 + j) for i in range(100) for j in range(3)]
+    pairs = cooccur.shared_pairs(spark.createDataFrame(rows, "item long, key long"), names=("paper_1", "paper_2", "n"))
+    written = []
+    monkeypatch.setattr(cooccur, "settle", lambda df: written.append(df.columns) or df)
+    themes = spark.createDataFrame([(i, i % 2) for i in range(100)], "id long, theme long")
+    cooccur.with_endpoint_attrs(pairs, themes, "id", "theme")
+    assert written == [["_id", "theme"]]
