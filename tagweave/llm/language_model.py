@@ -16,7 +16,7 @@ totals of the sweep before. After ``BURN_IN`` sweeps, ``SAMPLES`` sweeps each gi
 predictive probabilities, and their average is the model's.
 
 Work is dealt out by word: all contexts of a word are in one part, and the number of parts follows the
-bytes of text (``PART_BYTES`` each). Words that would outweigh a part (a
+bytes of text (``PART_BYTES`` each, less where this gives few parts). Words that would outweigh a part (a
 bounded number, found in a pass before) are dealt out by word and context, and their
 sums are exchanged. Between sweeps the parts exchange only totals: one number per context class and per such
 word. A chunk of documents asks each part for the distinct (word, context) it has, and gets their scores back in
@@ -55,6 +55,8 @@ CHUNK_TOKENS = 1 << 19
 CHUNK_DOCS = 1 << 16  # a document's place in its chunk has 16 bits
 REMEMBERED = 100_000
 PART_BYTES = 8 << 20
+# of short inputs, so that there are parts for many cores
+SMALL_PART_BYTES, SMALL_PARTS = 2 << 20, 32
 END = xxhash.xxh64_intdigest(b" ")  # no word has a space
 
 
@@ -561,17 +563,21 @@ def _add_up(train_tokens: int, known: int):
     return run
 
 
+def part_count(size: int) -> int:
+    return max(1 + size // PART_BYTES, min(1 + size // SMALL_PART_BYTES, SMALL_PARTS))
+
+
 def score_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """One row (``RESULT``) per document; train_tokens is the number of training tokens.
 
-    ``parts``: in how many parts the words are dealt out, by default one for every
-    ``PART_BYTES`` of text; a part should fit in a task.
+    ``parts``: in how many parts the words are dealt out, by default ``part_count`` of the
+    bytes of text; a part should fit in a task.
     """
     spark = docs.sparkSession
     short_batches(spark)
     if parts is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = 1 + size // PART_BYTES
+        parts = part_count(size)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     heavy = heavy_words(docs, parts)
     model_table = settle(

@@ -482,6 +482,11 @@ def test_language_model_sends_each_key_once_however_many_parts(spark, docs):
     assert base(1) == base(40)
 
 
+def test_parts_follow_the_text():
+    mb = 1 << 20
+    assert [language_model.part_count(n * mb) for n in (0, 3, 40, 100, 800, 8000)] == [1, 2, 21, 32, 101, 1001]
+
+
 def test_packed_numbers():
     for kind, most in ((bool, 2), (np.uint16, 1 << 16), (np.uint32, 9), (np.int64, 1 << 40), (np.uint64, 1 << 63)):
         x = np.random.default_rng(1).integers(0, most, 1000, dtype=np.uint64).astype(kind)
